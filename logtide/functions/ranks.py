@@ -118,9 +118,12 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float],
         joined = counts.withColumn("__s", one).select(
             "__v", "__c", F.col("__s.__cut").alias("__cut"), F.col("__s.__n").alias("__n"))
     v, c = F.col("__v"), F.col("__c")
+    # Up to this size a bracket could miss its quantile by a rank, and all values are few.
+    small = F.col("__n") <= 2 * SKETCH_ACCURACY
     aggs = [F.first("__n").alias("__n")]
     for i in range(len(ps)):
-        low, high = F.get("__cut", F.lit(i)), F.get("__cut", F.lit(i + len(ps)))
+        low = F.when(small, float("-inf")).otherwise(F.get("__cut", F.lit(i)))
+        high = F.when(small, float("inf")).otherwise(F.get("__cut", F.lit(i + len(ps))))
         aggs += [F.sum(F.when(v < low, c).otherwise(0)).alias(f"__below{i}"),
                  F.array_sort(F.collect_list(F.when(v.between(low, high), F.struct(
                      v.alias("v"), c.alias("c"))))).alias(f"__near{i}")]

@@ -459,12 +459,6 @@ SIGNATURE = """signature AS (
   FROM base JOIN time_of_day USING (geo_location), (SELECT median(downloads_per_user) AS med FROM base))"""
 
 
-def scaled(col: str, frm: str) -> str:
-    return (f"(SELECT CASE WHEN quantile_cont({col}, 0.99) - quantile_cont({col}, 0.01) < 1e-10 THEN NULL "
-            f"ELSE quantile_cont({col}, 0.01) END FROM {frm}), "
-            f"(SELECT quantile_cont({col}, 0.99) FROM {frm})")
-
-
 def norm(col: str, frm: str) -> str:
     lo = f"(SELECT quantile_cont(CAST({col} AS DOUBLE), 0.01) FROM {frm})"
     hi = f"(SELECT quantile_cont(CAST({col} AS DOUBLE), 0.99) FROM {frm})"
@@ -611,7 +605,7 @@ def oracles() -> dict[str, str]:
       SELECT geo_location, CASE WHEN years_before_latest > 0 THEN ln(1 + spike_ratio) / ln(2 + years_before_latest) ELSE 0 END AS temporal_trend_anomaly FROM yearly)"""],
         "temporal_trend_anomaly:r", "ta")
     add("fe46_peer_similarity", "orders", [BASE, """ed AS (
-      SELECT DISTINCT quantile_cont(CAST(unique_users AS DOUBLE), p / 10.0) AS e FROM base, (SELECT unnest(range(11)) AS p) GROUP BY p),
+      SELECT DISTINCT unnest(quantile_cont(CAST(unique_users AS DOUBLE), [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e FROM base),
     bn AS (SELECT *, (SELECT count(*) FROM ed WHERE e < unique_users AND e > (SELECT min(e) FROM ed)) AS bin FROM base),
     pm AS (SELECT *, median(downloads_per_user) OVER (PARTITION BY bin) AS md FROM bn),
     ps AS (SELECT geo_location, 1 / (1 + abs(downloads_per_user - md) / (md + 1)) AS peer_similarity FROM pm)"""],
