@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtide.catalogue_labels import label_queries
+from logtide.catalogue_reports import report_queries
 from logtide.functions.columns import LOC, left_features, rounded
 from logtide.operators import access, composite, series, temporal, timing, users, volume
 from logtide.operators.rollups import LogViews
@@ -184,4 +186,4 @@ def feature_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return feature_queries()
+    return {**feature_queries(), **label_queries(), **report_queries()}

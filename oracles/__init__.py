@@ -1,7 +1,7 @@
 """DuckDB oracles for the registered queries."""
 
-from oracles import features
+from oracles import features, labels
 
 
 def all_oracles() -> dict[str, str]:
-    return {**features.oracles()}
+    return {**features.oracles(), **labels.oracles()}
