@@ -318,7 +318,7 @@ def _jn04(v: LogViews) -> DataFrame:
     nxt = F.lead("hour_ts").over(Window.partitionBy(LOC).orderBy("hour_ts"))
     hours = (F.unix_micros(nxt) - F.unix_micros("hour_ts")) / F.lit(3.6e9)
     return v.hour.select(LOC, "n", F.unix_micros("hour_ts").alias("hour_us"),
-                         hours.cast("bigint").alias("next_in_hours"))
+                         hours.alias("next_in_hours"))
 
 
 def _jn05(v: LogViews) -> DataFrame:
@@ -651,6 +651,14 @@ def _fe50(spark, sf_dir):
                    .drop("time_series_features"))
 
 
+def _flagship(spark, sf_dir):
+    """Log -> location features -> rule labels -> annotated log -> clean downloads per country."""
+    from logtide.plans.analytics import country_bubble
+    v = views_of(spark, sf_dir)
+    annotated = ann.annotate(v.log, light_labels(v))
+    return rounded(country_bubble(annotated.filter(~F.col("is_bot") & ~F.col("is_hub"))))
+
+
 def label_queries():
     v = views_of
 
@@ -743,4 +751,5 @@ def label_queries():
         "ann01_request_texts": _ann01, "ann02_batches": _ann02, "ann03_responses": _ann03,
         "ann04_unprocessed": _ann04, "ann05_enrichment": _ann05,
         "fe50_location_table": _fe50,
+        "flagship_clean_country_downloads": _flagship,
     }

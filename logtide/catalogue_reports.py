@@ -255,8 +255,7 @@ def _scf03(log):
     digits = F.regexp_extract("filename", "([0-9]+)", 1)
     k = digits.try_cast("int")
     return log.select("filename").distinct().select(
-        "filename", k.cast("bigint").alias("k"), F.col("filename").try_cast("int").cast("bigint")
-        .alias("none"), F.coalesce(F.nullif(k % 5, F.lit(0)), F.lit(-1)).cast("bigint")
+        "filename", k.cast("bigint").alias("k"), F.col("filename").try_cast("double").alias("none"), F.coalesce(F.nullif(k % 5, F.lit(0)), F.lit(-1)).cast("bigint")
         .alias("m"), F.greatest(k, F.lit(100)).cast("bigint").alias("g"),
         F.try_divide(k.cast("double"), (k % 3).cast("double")).alias("q"))
 
@@ -413,7 +412,9 @@ def report_queries():
         "anl22_downloads_per_file": _users(an.downloads_per_file),
         "anl23_country_trend": _users(lambda log: an.country_trend(
             log, ["NATION_1", "NATION_3", "NATION_5", "NATION_8"], 1996)),
-        "anl24_before_after": _labelled(an.before_after),
+        "anl24_before_after": _labelled(lambda log, lab: an.before_after(log, lab).select(
+            "country", *[F.col(c).cast("double").alias(c)
+                         for c in ("raw_downloads", "clean_downloads")])),
         "anl25_hub_points": _light(an.hub_points),
         "anl25_hub_countries": _light(an.hub_countries),
         "anl26_classes_by_country": _light(lambda t: an.classes_by_country(t, 5)),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -21,13 +22,15 @@ class FeatureGroup:
     """A named set of features keyed by location.
 
     ``from_log`` groups read the log views and are independent of each other; ``from_table``
-    groups read the assembled table. ``defaults`` fill locations without a row.
+    groups read the assembled table with the columns of all earlier stages. ``defaults`` fill
+    locations without a row.
     """
 
     name: str
     from_log: LogGroup | None = None
     from_table: TableGroup | None = None
     defaults: dict = field(default_factory=dict)
+    stage: int = 1
 
 
 LOG_GROUPS = [
@@ -82,7 +85,8 @@ LOG_GROUPS = [
     FeatureGroup("sequence", series.sequence_features),
 ]
 
-# Later groups read columns of earlier ones (yearly before country, signature before stability).
+# Stage 1 reads log features only (so the yearly ones come before the country ones), stage 2 the
+# signature features, stage 3 the stability. Custom table groups default to the last stage.
 TABLE_GROUPS = [
     FeatureGroup("country_rollup", from_table=volume.country_rollup),
     FeatureGroup("country_zscore", from_table=composite.country_zscore),
@@ -93,37 +97,65 @@ TABLE_GROUPS = [
     FeatureGroup("advanced_flags", from_table=composite.advanced_flags),
     FeatureGroup("signature", from_table=composite.signature_features),
     FeatureGroup("interaction", from_table=composite.interaction_features),
-    FeatureGroup("geographic_stability", from_table=composite.geographic_stability),
-    FeatureGroup("discriminative_scores", from_table=composite.discriminative_scores),
+    FeatureGroup("geographic_stability", from_table=composite.geographic_stability,
+                 stage=2),
+    FeatureGroup("discriminative_scores", from_table=composite.discriminative_scores,
+                 stage=3),
 ]
 
 
+GROUPS_PER_JOB = 6
+JOBS = 4
+
+
+def _in_parallel(tasks: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Submit independent jobs side by side; each small one leaves executors idle otherwise."""
+    with ThreadPoolExecutor(JOBS) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
+def _attach(keys: DataFrame, parts: Sequence[tuple[FeatureGroup, DataFrame]]) -> DataFrame:
+    for group, part in parts:
+        keys = left_features(keys, part, group.defaults)
+    return keys
+
+
 def location_features(views: LogViews, groups: Sequence[str] | None = None,
                       custom: Sequence[FeatureGroup] = (), durable: bool = False) -> DataFrame:
     """Location table with the chosen feature groups (all by default) plus custom ones.
 
-    With ``durable`` the table is written to the shared folder after the log groups and after
-    the table groups: table-level statistics then read the small table, not the log again.
+    With ``durable`` the roll-ups, the log features (in a few jobs) and the table of each stage
+    are written to the shared folder: later steps read small tables, not the log again, and no
+    plan grows with the number of groups.
     """
     def wanted(g: FeatureGroup) -> bool:
         return groups is None or g.name in groups
-    base = volume.base_stats(views)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return materialise(df, name) if durable else df
     if durable:
-        base = materialise(base, "base")
-    table = base.join(volume.hourly_users(views, base), LOC, "left")
+        _in_parallel([lambda n=n: getattr(views, n) for n in views.SHARED])
+    base = keep(volume.base_stats(views), "base")
+    base = keep(base.join(volume.hourly_users(views, base), LOC, "left"), "base")
     chosen = [g for g in LOG_GROUPS if wanted(g)] + [g for g in custom if g.from_log]
-    for group in chosen:
-        table = left_features(table, group.from_log(views), group.defaults)
-    if durable:
-        table = materialise(table, "locations")
-    later = [g for g in TABLE_GROUPS if wanted(g)] + [g for g in custom if g.from_table]
-    additions = table
-    for group in later:
-        before = set(additions.columns)
-        additions = left_features(additions, group.from_table(additions), group.defaults)
-        missing = before - set(additions.columns)
+    keys = base.select(LOC)
+
+    def job(part: list[FeatureGroup]) -> DataFrame:
+        return keep(_attach(keys, [(g, g.from_log(views)) for g in part]), "features")
+    chunks = [chosen[i:i + GROUPS_PER_JOB] for i in range(0, len(chosen), GROUPS_PER_JOB)]
+    table = base
+    for part in _in_parallel([lambda c=c: job(c) for c in chunks]):
+        table = table.join(part, LOC)
+    table = keep(table, "locations")
+    later = [g for g in TABLE_GROUPS if wanted(g)]
+    later += [replace(g, stage=max(g.stage, 4)) for g in custom if g.from_table]
+    for stage in sorted({g.stage for g in later}):
+        now = [g for g in later if g.stage == stage]
+        before, done = set(table.columns), table
+        parts = _in_parallel([
+            lambda g=g: keep(g.from_table(done), g.name) for g in now])
+        table = keep(_attach(table, list(zip(now, parts))), "locations")
+        missing = before - set(table.columns)
         if missing:
-            raise ValueError(f"feature group {group.name} dropped columns {sorted(missing)}")
-        if durable and group.name in ("global_rank", "interaction"):
-            additions = materialise(additions, "locations")
-    return materialise(additions, "locations") if durable else additions
+            raise ValueError(f"stage {stage} dropped columns {sorted(missing)}")
+    return table

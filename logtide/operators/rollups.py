@@ -27,6 +27,8 @@ class LogViews:
     feature groups from them.
     """
 
+    SHARED = ("hour", "hour_users", "user", "user_activity", "project", "file", "half_hour")
+
     def __init__(self, log: DataFrame, schema: LogSchema, durable: bool = False):
         self.log = log
         self.schema = schema

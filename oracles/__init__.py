@@ -1,7 +1,7 @@
 """DuckDB oracles for the registered queries."""
 
-from oracles import features, labels
+from oracles import features, labels, reports
 
 
 def all_oracles() -> dict[str, str]:
-    return {**features.oracles(), **labels.oracles()}
+    return {**features.oracles(), **labels.oracles(), **reports.oracles()}

@@ -213,7 +213,7 @@ def oracles() -> dict[str, str]:
     o["jn02_semi_join"] = query("orders", LIGHT_LABELS, "SELECT year, count(*) AS n FROM log WHERE geo_location IN (SELECT geo_location FROM lab WHERE is_hub) GROUP BY 1")
     o["jn03_anti_join"] = query("orders", LIGHT_LABELS, "SELECT year, count(*) AS n FROM log WHERE geo_location NOT IN (SELECT geo_location FROM lab WHERE is_bot) GROUP BY 1")
     o["jn04_successor"] = query("orders", ["r AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER BY h) AS rn FROM hr)"],
-      """SELECT a.geo_location, a.n, epoch_us(CAST(a.h AS TIMESTAMP)) AS hour_us, CAST((epoch_us(CAST(b.h AS TIMESTAMP)) - epoch_us(CAST(a.h AS TIMESTAMP))) // 3600000000 AS BIGINT) AS next_in_hours
+      """SELECT a.geo_location, a.n, epoch_us(CAST(a.h AS TIMESTAMP)) AS hour_us, (epoch_us(CAST(b.h AS TIMESTAMP)) - epoch_us(CAST(a.h AS TIMESTAMP))) / 3600000000e0 AS next_in_hours
       FROM r a LEFT JOIN r b ON a.geo_location = b.geo_location AND b.rn = a.rn + 1""")
     o["jn05_own_group_statistics"] = query("orders", ["m AS (SELECT geo_location, avg(n) AS m FROM dy GROUP BY 1)"],
       "SELECT geo_location, epoch_us(day) AS day_us, n, round(n - m, 6) + 0.0 AS above_mean FROM dy JOIN m USING (geo_location)")
