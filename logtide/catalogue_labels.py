@@ -43,6 +43,19 @@ LIGHT = RuleSet(
     organic_max_users=490, bot_min_users=500, bot_max_dl_per_user=1.25, hub_min_dl_per_user=1.26,
     hub_dl_per_user=1.48, hub_max_users=830, exclude_max_working=0.3, exclude_min_night=0.36)
 
+# Shares only, so that it works at any size of the tables.
+FLAGSHIP = RuleSet(
+    taxonomy={
+        "behavior_type": {
+            "organic": [{"id": "day", "working_hours_ratio": {"min": 0.335}}],
+            "automated": [{"id": "night", "working_hours_ratio": {"max": 0.33},
+                           "night_activity_ratio": {"min": 0.33}}]},
+        "automation_category": {
+            "bot": [{"id": "night", "night_activity_ratio": {"min": 0.34}}],
+            "legitimate_automation": [{"id": "steady", "working_hours_ratio": {"min": 0.32}}]},
+    },
+    organic_max_users=1_000_000, hub_min_dl_per_user=100, hub_dl_per_user=500)
+
 RICH = RuleSet(
     taxonomy=rules.merge_taxonomy(rules.BASE_TAXONOMY, {
         "behavior_type": {
@@ -104,9 +117,9 @@ def light_table(views: LogViews) -> DataFrame:
                          temporal.TIME_OF_DAY_DEFAULTS)
 
 
-def light_labels(views: LogViews) -> DataFrame:
+def light_labels(views: LogViews, ruleset: RuleSet = LIGHT) -> DataFrame:
     """Location table with rule labels from volume and time of day."""
-    labelled = rules.final_label(rules.classify_rules(light_table(views), LIGHT))
+    labelled = rules.final_label(rules.classify_rules(light_table(views), ruleset))
     return materialise(labelled, "labels")
 
 
@@ -655,7 +668,7 @@ def _flagship(spark, sf_dir):
     """Log -> location features -> rule labels -> annotated log -> clean downloads per country."""
     from logtide.plans.analytics import country_bubble
     v = views_of(spark, sf_dir)
-    annotated = ann.annotate(v.log, light_labels(v))
+    annotated = ann.annotate(v.log, light_labels(v, FLAGSHIP))
     return rounded(country_bubble(annotated.filter(~F.col("is_bot") & ~F.col("is_hub"))))
 
 

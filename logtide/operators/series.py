@@ -121,11 +121,11 @@ def trend(views: LogViews) -> DataFrame:
     n, mean, var = F.col("n"), F.col("mean"), F.col("var")
     xbar, xvar = (n - 1) / 2, (n * n - 1) / 12
     cov = F.col("sxy") / n - xbar * mean
-    slope = cov / xvar
-    r2 = F.when(var > 0, F.least(cov * cov / (xvar * var), F.lit(1.0))).otherwise(0.0)
+    slope = F.try_divide(cov, xvar)
+    r2 = F.least(F.coalesce(F.try_divide(cov * cov, xvar * var), F.lit(0.0)), F.lit(1.0))
     # Second orthogonal polynomial on 0..n-1 gives the quadratic coefficient directly.
     centred = F.col("sxxy") - 2 * xbar * F.col("sxy") + xbar * xbar * F.col("sy")
-    quad = (centred - xvar * F.col("sy")) / (n * (n * n - 1) * (n * n - 4) / 180)
+    quad = F.try_divide(centred - xvar * F.col("sy"), n * (n * n - 1) * (n * n - 4) / 180)
     out = s.select(
         LOC, n, (slope / (mean + EPS)).alias("slope"), r2.alias("r2"),
         F.when(n >= 5, 2 * quad / (mean + EPS)).otherwise(0.0).alias("acc"),

@@ -183,7 +183,8 @@ def hour_profile(views: LogViews) -> DataFrame:
     vh = _array_sum(F.transform(head, lambda x: (x - mh) * (x - mh)))
     vt = _array_sum(F.transform(tail, lambda x: (x - mt) * (x - mt)))
     return prof.select(
-        LOC, F.coalesce(F.try_divide(cov, F.sqrt(vh * vt)), F.lit(0.0))
+        # A flat profile has only rounding noise left as variance.
+        LOC, F.when((vh > 1e-20) & (vt > 1e-20), cov / F.sqrt(vh * vt)).otherwise(0.0)
         .alias("autocorrelation_lag1"),
         F.sqrt(F.greatest(js, F.lit(0.0))).alias("circadian_deviation"),
         entropy.alias("request_timing_entropy"))

@@ -401,7 +401,7 @@ def citation_statistics(datasets: DataFrame, max_years: int = 5) -> DataFrame:
     right = groups.agg(h.alias("h"), n.alias("n")).select(
         F.struct("h", "n").alias("kw")).scalar()
     kw = F.col("kw")
-    correction = 1 - ties / (F.pow(kw["n"], F.lit(3.0)) - kw["n"])
+    correction = 1 - F.try_divide(ties, F.pow(kw["n"], F.lit(3.0)) - kw["n"])
     return left.withColumn("kw", right).select(
         "n_cited", "spearman", "log_slope",
         F.when(correction > 0, kw["h"] / correction).alias("kruskal_h"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logtide.catalogue_labels import LIGHT, PATTERN, RICH, SEEDS, TRUTH
+from logtide.catalogue_labels import FLAGSHIP, LIGHT, PATTERN, RICH, SEEDS, TRUTH
 from logtide.operators.learned import MODEL_FEATURES
 from oracles.base import out, query
 from oracles.features import (AUTHENTIC, BASE, BURST, COORD, DOW, FILE_DIV, PROJECT, PROTOCOL,
@@ -81,6 +81,7 @@ CONFIDENCE = """CASE WHEN behavior_type = 'organic' THEN 0.3e0 + 0.7e0 * (greate
   ELSE 0.5 END"""
 
 LIGHT_LABELS = LIGHT_TABLE + rule_ctes(LIGHT, False)
+FLAGSHIP_LABELS = LIGHT_TABLE + rule_ctes(FLAGSHIP, False)
 RICH_LABELS = RICH_TABLE + rule_ctes(RICH, True)
 
 

@@ -7,7 +7,7 @@ from logtide.functions import categories as cat
 from logtide.plans.reports import IMPORTANCE, PROFILED
 from oracles.base import out, query
 from oracles.features import BASE, BURST, YEARLY, WINDOW_COLS, windows
-from oracles.labels import LIGHT_LABELS
+from oracles.labels import FLAGSHIP_LABELS, LIGHT_LABELS
 
 KINDS = ("bot", "hub", "user")
 USERS = LIGHT_LABELS + ["ul AS (SELECT log.* FROM log WHERE geo_location IN (SELECT geo_location FROM lab WHERE NOT is_bot AND NOT is_hub))"]
@@ -136,7 +136,7 @@ def oracles() -> dict[str, str]:
     log("anl14_heatmap", "SELECT hour(ts) AS hour, dayofweek(ts) AS day_of_week, count(*) AS downloads, round(count(*) / CAST(max(count(*)) OVER () AS DOUBLE), 6) AS norm FROM ul WHERE year >= 1996 GROUP BY 1, 2", USERS)
     bubble = "SELECT country, count(*) AS total_downloads, count(DISTINCT usr) AS unique_users, round(CAST(count(*) AS DOUBLE) / count(DISTINCT usr), 6) AS dl_per_user FROM {l} GROUP BY 1 HAVING count(*) >= 100"
     log("anl15_country_bubble", bubble.format(l="ul"), USERS)
-    log("flagship_clean_country_downloads", bubble.format(l="ul"), USERS)
+    log("flagship_clean_country_downloads", bubble.format(l="ul"), FLAGSHIP_LABELS + [USERS[-1]])
     log("anl15_country_bubble_hub", bubble.format(l="hl"), HUBS)
     log("anl15_country_bubble_top", "SELECT country, count(*) AS total_downloads, count(DISTINCT usr) AS unique_users, count(DISTINCT accession) AS unique_datasets, round(CAST(count(*) AS DOUBLE) / count(DISTINCT usr), 6) AS dl_per_user FROM ul GROUP BY 1 HAVING count(*) > 500 ORDER BY 2 DESC, 1 LIMIT 50", USERS)
     ft = f"ft AS (SELECT {REUSE} AS reuse_region, {kind} AS file_category, count(*) AS downloads FROM nm WHERE filename IS NOT NULL GROUP BY 1, 2)"
