@@ -9,11 +9,23 @@ from logtide.functions.columns import EPS, LOC, hour_of, ratio, weekday
 from logtide.operators.rollups import LogViews
 
 
+def main_place(log: DataFrame) -> DataFrame:
+    """Most frequent country (ties: smallest name) and largest city name of each location.
+
+    Text extremes and ``mode`` beside distinct counts would turn that aggregation into a sort of
+    all events; here they see one row per distinct place.
+    """
+    places = log.groupBy(LOC, "country", "city").agg(F.count(F.lit(1)).alias("n"))
+    countries = places.groupBy(LOC, "country").agg(F.sum("n").alias("n"), F.max("city").alias("c"))
+    named = F.col("country").isNotNull()
+    best = F.min(F.when(named, F.struct((-F.col("n")).alias("n"), "country")))
+    return countries.groupBy(LOC).agg(best.alias("b"), F.max("c").alias("city")) \
+        .select(LOC, F.col("b.country"), "city")
+
+
 def base_stats(views: LogViews) -> DataFrame:
     """Location totals. A location seen with several countries keeps its most frequent one."""
     out = views.valid_year.groupBy(LOC).agg(
-        F.mode("country", True).alias("country"),
-        F.max("city").alias("city"),
         F.countDistinct("usr").alias("unique_users"),
         F.count(F.lit(1)).alias("total_downloads"),
         F.countDistinct("accession").alias("unique_projects"),
@@ -22,7 +34,8 @@ def base_stats(views: LogViews) -> DataFrame:
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
     ).withColumn("downloads_per_user", ratio(F.col("total_downloads"), F.col("unique_users")))
-    return minimum_volume(out, views.schema.min_location_downloads)
+    kept = minimum_volume(out, views.schema.min_location_downloads)
+    return kept.join(main_place(views.valid_year), LOC, "left")
 
 
 def minimum_volume(locations: DataFrame, least: int) -> DataFrame:
@@ -160,7 +173,6 @@ def flat_profile(views: LogViews, least: int = 10) -> DataFrame:
     """Single-pass location profile (working hours 9..17 inclusive, night before 6 or from 22)."""
     hour, m = hour_of(F.col("ts")), F.col("method")
     out = views.located.groupBy(LOC).agg(
-        F.mode("country", True).alias("country"),
         F.count(F.lit(1)).alias("total_downloads"),
         F.countDistinct("usr").alias("unique_users"),
         F.countDistinct("accession").alias("unique_projects"),
@@ -179,6 +191,7 @@ def flat_profile(views: LogViews, least: int = 10) -> DataFrame:
         F.count_if(m == "fasp-aspera").alias("aspera_downloads"),
         F.count_if(m == "gridftp-globus").alias("globus_downloads"),
     ).filter(F.col("total_downloads") >= least)
+    out = out.join(main_place(views.located).drop("city"), LOC, "left")
     n = F.col("total_downloads")
     return out.withColumns({
         "downloads_per_user": ratio(n, F.col("unique_users")),
