@@ -34,6 +34,11 @@ def events_views(spark: SparkSession, sf_dir: str) -> LogViews:
     return LogViews(events_log(spark, sf_dir), schema())
 
 
+def _store(v: LogViews) -> LogViews:
+    """The same views over a log written once, for features that scan it several times."""
+    return LogViews(materialise(v.log, "log"), v.schema, durable=True)
+
+
 def _on(make_views, feature, **digits) -> Query:
     return lambda spark, sf_dir: rounded(feature(make_views(spark, sf_dir)), **digits)
 
@@ -49,6 +54,8 @@ def _exploded(period: str):
 
 def _base_with(views: LogViews, *groups) -> DataFrame:
     """Base statistics plus feature groups given as (function, defaults)."""
+    if len(groups) > 1:
+        views = _store(views)
     table = volume.base_stats(views)
     for feature, defaults in groups:
         table = left_features(table, feature(views), defaults)

@@ -112,6 +112,12 @@ def views_of(spark: SparkSession, sf_dir: str, source=orders_log) -> LogViews:
     return LogViews(source(spark, sf_dir), schema)
 
 
+def stored_views(spark: SparkSession, sf_dir: str, source=orders_log) -> LogViews:
+    """Views over the canonical log written once, for queries that scan it several times."""
+    v = views_of(spark, sf_dir, source)
+    return LogViews(materialise(v.log, "log"), v.schema, durable=True)
+
+
 def light_table(views: LogViews) -> DataFrame:
     return left_features(volume.base_stats(views), temporal.time_of_day(views),
                          temporal.TIME_OF_DAY_DEFAULTS)
@@ -139,7 +145,7 @@ def rich_table(views: LogViews) -> DataFrame:
 
 def _rich(run):
     """Query over the rich location table."""
-    return lambda spark, sf_dir: rounded(run(rich_table(views_of(spark, sf_dir))))
+    return lambda spark, sf_dir: rounded(run(rich_table(stored_views(spark, sf_dir))))
 
 
 def _light(run):
@@ -319,7 +325,7 @@ def _flt08(labelled: DataFrame) -> DataFrame:
 def _keyed(run):
     """Log, bot keys and hub keys of the light labels."""
     def query(spark, sf_dir):
-        v = views_of(spark, sf_dir)
+        v = stored_views(spark, sf_dir)
         labels = light_labels(v)
         return rounded(run(v.log, ann.keys_of(labels, "bot"), ann.keys_of(labels, "hub")))
     return query
@@ -446,7 +452,7 @@ def _cls17(spark, sf_dir):
 
 
 def _cls20(spark, sf_dir):
-    t = rich_table(views_of(spark, sf_dir))
+    t = rich_table(stored_views(spark, sf_dir))
     labelled, _ = learned.classify_learned(t, corrections=corrections(t), params=SMALL,
                                            rules=RICH, seed_rules=SEEDS)
     return rounded(labelled.select(LOC, *LABEL_COLUMNS, "needs_review", "is_protected_hub"))
@@ -658,7 +664,7 @@ def _ann04(spark, sf_dir):
 
 
 def _fe50(spark, sf_dir):
-    v = views_of(spark, sf_dir, events_log)
+    v = stored_views(spark, sf_dir, events_log)
     out = location_features(v, durable=True)
     return rounded(out.withColumn("sequence_windows", F.size("time_series_features"))
                    .drop("time_series_features"))
@@ -667,7 +673,7 @@ def _fe50(spark, sf_dir):
 def _flagship(spark, sf_dir):
     """Log -> location features -> rule labels -> annotated log -> clean downloads per country."""
     from logtide.plans.analytics import country_bubble
-    v = views_of(spark, sf_dir)
+    v = stored_views(spark, sf_dir)
     annotated = ann.annotate(v.log, light_labels(v, FLAGSHIP))
     return rounded(country_bubble(annotated.filter(~F.col("is_bot") & ~F.col("is_hub"))))
 
@@ -696,7 +702,7 @@ def label_queries():
         "jn06_multi_way": on_views(_jn06),
         "jn07_annotate": lambda spark, sf_dir: (lambda w: ann.annotate(
             w.log, light_labels(w)).groupBy("country", *ann.FLAGS).agg(
-                F.count(F.lit(1)).alias("n")))(v(spark, sf_dir)),
+                F.count(F.lit(1)).alias("n")))(stored_views(spark, sf_dir)),
         "jn08_annotate_from_keys": _keyed(lambda log, bots, hubs: ann.annotate_from_keys(
             log, bots, hubs).groupBy("country", *ann.FLAGS).agg(F.count(F.lit(1)).alias("n"))),
         "jn09_annotator_pairs": _ev(lambda p: p, _pairs),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.catalogue_labels import _light, _log, light_labels, views_of
+from logtide.catalogue_labels import _light, _log, light_labels, stored_views, views_of
 from logtide.functions import categories as cat
 from logtide.functions.columns import LOC, clip, coordinates, haversine_km, ratio, rounded, weekday
 from logtide.functions.ranks import average_rank, quantiles, sliced_row_number, value_ranks
@@ -42,14 +42,14 @@ def _on(run, source=orders_log, digits: int = 6):
 def _users(run):
     """Query over the user-only log."""
     def query(spark, sf_dir):
-        v = views_of(spark, sf_dir)
+        v = stored_views(spark, sf_dir)
         return rounded(run(ann.filter_log(v.log, light_labels(v), "user_only")))
     return query
 
 
 def _labelled(run):
     def query(spark, sf_dir):
-        v = views_of(spark, sf_dir)
+        v = stored_views(spark, sf_dir)
         return rounded(run(v.log, light_labels(v)))
     return query
 

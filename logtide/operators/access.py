@@ -117,7 +117,8 @@ def alphabetical_access(views: LogViews) -> DataFrame:
     """
     per_hour = _sliced_access(views).groupBy(LOC, "hour", "filename").agg(
         F.sum("r").alias("pos"), F.count(F.lit(1)).alias("c"))
-    sizes = per_hour.groupBy(LOC, "hour").agg(F.sum("c").alias("m"))
+    sizes = _with_file(views).groupBy(LOC, F.date_trunc("hour", "ts").alias("hour")) \
+        .agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy(LOC).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(LOC, "hour", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("off"))
     files = per_hour.join(offsets, [LOC, "hour"]).groupBy(LOC, "filename").agg(
