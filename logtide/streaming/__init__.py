@@ -1,0 +1 @@
+"""Placeholder: the workload is batch only."""
