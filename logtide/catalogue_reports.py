@@ -195,8 +195,10 @@ def _win04(v: LogViews):
 
 
 def _win05(v: LogViews):
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(LOC))
-    return v.project.select(LOC, "accession", share.alias("share"))
+    """Share of each project; the totals are joined, since a location may have any number."""
+    totals = v.project.groupBy(LOC).agg(F.sum("n").alias("total"))
+    return v.project.join(totals, LOC).select(
+        LOC, "accession", (F.col("n") / F.col("total")).alias("share"))
 
 
 def _win_series(*columns):

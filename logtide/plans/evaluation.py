@@ -260,11 +260,11 @@ def disagreement_patterns(pairs: DataFrame) -> DataFrame:
 def stratified_split(rows: DataFrame, zone: str, key: str, test_share: float = 0.33) -> DataFrame:
     """Mark ceil(share x size) rows of every stratum as test, in the order of a key hash.
 
-    Rows are counted per leading hash byte; only the byte where the cut falls is ordered, so a
-    stratum of any size is never sorted as a whole.
+    Rows are counted per hash prefix and ordered inside a prefix only, so a stratum of any size is
+    never sorted as a whole.
     """
     keyed = rows.withColumn("__h", F.md5(F.col(key).cast("string"))) \
-        .withColumn("__b", F.substring("__h", 1, 2))
+        .withColumn("__b", F.substring("__h", 1, 3))
     sizes = keyed.groupBy(zone, "__b").agg(_n().alias("__c"))
     w = Window.partitionBy(zone)
     before = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -45,8 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def session_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "logtide", spark.sparkContext.applicationId)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "logtide", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(session_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def release_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; call it once their results are written."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -229,15 +229,28 @@ def oracles() -> dict[str, str]:
       JOIN (SELECT geo_location, count(*) AS n FROM vy GROUP BY 1) USING (geo_location)""")
     hav = ("2 * 6371 * asin(sqrt(least(1, power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) "
            "* power(sin(radians({b}.lon - {a}.lon) / 2), 2))))")
-    o["jn11_proximity_groups"] = ("WITH RECURSIVE " + query("orders", [BASE, """pts AS (SELECT geo_location, country, CAST(split_part(geo_location, ',', 1) AS DOUBLE) AS lat,
-      CAST(split_part(geo_location, ',', 2) AS DOUBLE) AS lon, row_number() OVER (ORDER BY total_downloads DESC, geo_location) AS rank FROM base)""",
-      f"""g(i, ls) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(geo_location VARCHAR, country VARCHAR, lat DOUBLE, lon DOUBLE, rank BIGINT)[])
+    order = "row_number() OVER (ORDER BY total_downloads DESC, geo_location) AS rank"
+    greedy = [f"""g(i, ls) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(geo_location VARCHAR, country VARCHAR, lat DOUBLE, lon DOUBLE, rank BIGINT)[])
         UNION ALL SELECT g.i + 1, CASE WHEN len(list_filter(g.ls, lambda l: l.country = p.country AND {hav.format(a='l', b='p')} <= 10)) > 0 THEN g.ls
           ELSE list_append(g.ls, struct_pack(geo_location := p.geo_location, country := p.country, lat := p.lat, lon := p.lon, rank := p.rank)) END
         FROM g JOIN pts p ON p.rank = g.i + 1)""",
-      "lead AS (SELECT unnest(ls, recursive := true) FROM (SELECT ls FROM g ORDER BY i DESC LIMIT 1))"],
-      f"""SELECT p.geo_location, p.country, arg_min(l.geo_location, l.rank) AS leader_location FROM pts p JOIN lead l ON l.country = p.country AND l.rank <= p.rank
-      AND {hav.format(a='l', b='p')} <= 10 GROUP BY 1, 2""")[len("WITH "):])
+      "lead AS (SELECT unnest(ls, recursive := true) FROM (SELECT ls FROM g ORDER BY i DESC LIMIT 1))",
+      f"""grp AS (SELECT p.geo_location, p.country, arg_min(l.geo_location, l.rank) AS leader_location FROM pts p JOIN lead l ON l.country = p.country AND l.rank <= p.rank
+        AND {hav.format(a='l', b='p')} <= 10 GROUP BY 1, 2)"""]
+    coords = "CAST(split_part(geo_location, ',', 1) AS DOUBLE) AS lat, CAST(split_part(geo_location, ',', 2) AS DOUBLE) AS lon"
+
+    def recursive(sql: str) -> str:
+        return "WITH RECURSIVE " + sql[len("WITH "):]
+    o["jn11_proximity_groups"] = recursive(query("orders", [
+        BASE, f"pts AS (SELECT geo_location, country, {coords}, {order} FROM base)", *greedy], "SELECT * FROM grp"))
+    o["rpt11_consolidated_hubs"] = recursive(query("orders", LIGHT_LABELS + [
+        f"pts AS (SELECT geo_location, country, {coords}, {order} FROM lab WHERE is_hub)", *greedy,
+        "mem AS (SELECT g.country, g.leader_location, l.* EXCLUDE (country) FROM grp g JOIN lab l USING (geo_location))",
+        """cit AS (SELECT country, leader_location, string_agg(city, ', ' ORDER BY city) AS cities FROM (SELECT DISTINCT country, leader_location, city,
+          dense_rank() OVER (PARTITION BY country, leader_location ORDER BY city) AS r FROM mem) WHERE r <= 3 GROUP BY 1, 2)"""],
+        """SELECT m.country, m.leader_location, num_locations, total_users, total_downloads, cities, downloads_per_user FROM (SELECT country, leader_location, count(*) AS num_locations,
+          CAST(sum(unique_users) AS BIGINT) AS total_users, CAST(sum(total_downloads) AS BIGINT) AS total_downloads, round(sum(total_downloads) / CAST(sum(unique_users) AS DOUBLE), 6) AS downloads_per_user
+          FROM mem GROUP BY 1, 2) m JOIN cit USING (country, leader_location)"""))
     o["jn12_country_statistics"] = query("orders", [BASE], """SELECT geo_location, country, total_downloads, count(*) OVER (PARTITION BY country) AS locations_per_country,
       CAST(sum(total_downloads) OVER (PARTITION BY country) AS BIGINT) AS country_total_dl FROM base""")
     flags_sql = ", ".join(f"{pattern_sql(p)} AS {lv}__{kd}__{p['id']}" for lv, kds in RICH.taxonomy.items() for kd, ps in kds.items() for p in ps)
