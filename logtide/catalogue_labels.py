@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import LOC, left_features, rounded
-from logtide.operators import access, learned, proximity, rules, seeds, temporal, timing, users
+from logtide.operators import learned, proximity, rules, seeds, temporal, timing, users
 from logtide.operators import annotate as ann
 from logtide.operators import volume
 from logtide.operators.locations import location_features

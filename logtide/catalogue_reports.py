@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logtide.catalogue_labels import _light, _log, light_labels, stored_views, views_of
 from logtide.functions import categories as cat
-from logtide.functions.columns import LOC, clip, coordinates, haversine_km, ratio, rounded, weekday
+from logtide.functions.columns import LOC, clip, coordinates, haversine_km, rounded, weekday
 from logtide.functions.ranks import average_rank, quantiles, sliced_row_number, value_ranks
 from logtide.operators import annotate as ann
 from logtide.operators import series, volume

@@ -40,7 +40,7 @@ FILE_TYPES = {
     "raw": [".raw", ".d", ".wiff", ".baf", ".tdf"],
     "processed_spectra": [".mgf", ".mzml", ".mzxml", ".ms2", ".mzml.gz"],
     "result": [".mzid", ".mzid.gz", ".pep.xml", ".pepxml", ".prot.xml", ".protxml",
-               ".pride.mztab.gz", ".mztab", ".mztab.gz"],
+               ".mztab", ".mztab.gz"],
     "tabular": [".csv", ".tsv", ".txt", ".xlsx", ".xls"],
     "database": [".fasta", ".fasta.gz", ".fa", ".fa.gz"],
     "metadata": [".xml", ".sdrf.tsv", ".sdrf"],

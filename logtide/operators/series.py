@@ -6,8 +6,6 @@ not by the number of downloads; windows over it stay small for any location.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec

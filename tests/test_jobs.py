@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide import catalogue
-from logtide.operators import learned, proximity, rules
+from logtide.operators import learned, proximity
 from logtide.plans import annotation_text as texts
 from logtide.plans import evaluation as ev
 from logtide.plans import reports
