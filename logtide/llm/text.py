@@ -28,10 +28,17 @@ def lower_ascii(text: Column) -> Column:
 
 
 def windows5(tokens: Column) -> Column:
-    """64-bit hashes of all five-word windows in text order; a shorter text is one window, no word none."""
+    """64-bit hashes of all five-word windows in text order; a shorter text is one window, no word none.
+
+    Windows of two, four and five words are built from one another by zipping an array with itself shifted.
+    """
+    def pairs(left: Column, right: Column, shift: int) -> Column:
+        return F.zip_with(left, F.slice(right, F.lit(1 + shift), F.size(right)), lambda a, b: F.xxhash64(a, b))
+
     def spans(t: Column) -> Column:
-        return F.when(F.size(t) >= 5, F.transform(F.sequence(F.lit(0), F.size(t) - 5), lambda i: F.xxhash64(
-            *[F.get(t, i + k) for k in range(5)]))) \
+        five = bind(F.transform(t, lambda w: F.xxhash64(w)), lambda one: bind(
+            pairs(one, one, 1), lambda two: pairs(pairs(two, two, 2), one, 4)))
+        return F.when(F.size(t) >= 5, F.slice(five, F.lit(1), F.size(t) - 4)) \
             .when(F.size(t) > 0, F.array(F.xxhash64(t))) \
             .otherwise(F.array().cast("array<bigint>"))
     return bind(tokens, spans)
