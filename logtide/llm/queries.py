@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import langid, linededup, neardup, packing, quality
+from logtide.llm import bpe, langid, linededup, neardup, neighbours, packing, quality, tokencount, wrappers
+from logtide.session import materialise, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "llr")
 
 
+def tokenizer() -> str:
+    """Definition of the byte-level tokenizer that the registered queries use."""
+    import public_tokenizers
+    return bpe.load_definition(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests."""
+    definition = tokenizer()
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), definition), definition)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by separators in the token files written from the documents."""
+    folder = shared_path(spark, "token-store")
+    separator = 50257  # the first id behind the vocabulary, so no text can hold it
+    placed = materialise(tokencount.write_store(bpe.encode(table(spark, sf_dir, "documents"), tokenizer()),
+                                                folder, separator), "placed")
+    return placed.join(tokencount.scan(spark, folder, separator), ["file", "nth"]).select("doc_id", "n_tokens")
+
+
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; a quarter of the documents is held out from training."""
     docs = table(spark, sf_dir, "documents")
@@ -45,11 +79,15 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_token_counts": op3_token_counts,
+    "op4_nn_descent": op4_nn_descent,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_wrapper_extraction": op10_wrapper_extraction,
 }
 
 ORACLES: dict[str, str] = {}
