@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, langid, linededup, neardup, neighbours, packing, quality, tokencount, wrappers
+from logtide.llm import bpe, langid, linededup, neardup, neighbours, packing, quality, quotes, tokencount, wrappers
 from logtide.session import materialise, shared_path
 
 
@@ -73,6 +73,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of every conversation in reply order, without quotes."""
+    return quotes.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicate documents of every document, the smallest id kept."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quotation_linking": op8_quotation_linking,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_wrapper_extraction": op10_wrapper_extraction,
 }
