@@ -129,7 +129,7 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = near_copies(docs, firsts)
     worded = firsts.select("h1", "place.doc_id", "place.at").join(gone, ["doc_id", "at"], "left_anti")
     blank = lines.where(~has_word(F.col("line"))).select(F.xxhash64("line").alias("h1"), "doc_id", "at")
-    return worded.union(blank.distinct()).groupBy("doc_id").agg(
+    return worded.unionByName(blank.distinct()).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("at", "h1"))).alias("kept"))
 
 
