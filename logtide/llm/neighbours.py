@@ -4,8 +4,8 @@ Equal vectors form one node. One added coordinate brings all nodes to one length
 near for the inner product too. The graph starts from lists found inside random-hyperplane buckets; every
 round then brings the neighbours and (sampled) reverse neighbours of each node together by joins, and each
 of them offers the others its best ones. Only entries that are new since the last round are compared.
-A query starts at its own neighbours; each round expands the best entries of its beam that are not yet
-expanded, by a join with the graph. Graph and beam work on vectors rounded to 8 bits; the beam's end is
+A query starts at its own node; each round expands the best entries of its beam that are not yet
+expanded, by a join with the graph and the nearest of its reverse edges. Graph and beam work on vectors rounded to 8 bits; the beam's end is
 scored again on the original vectors in double precision.
 
 Every row is indexed. Lists, samples and beams have fixed lengths; these are the parameters of the method.
@@ -77,11 +77,12 @@ def gathered(offers: DataFrame, size: int) -> DataFrame:
 
 
 def offers_within(rows: list[dict], take: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """Each member's best other members of one group; pairs of which neither is fresh are left out."""
+    """Each member's best fellows of one group, if they beat the last entry of its list and one of the two is fresh."""
     vectors = unpack(np.array([r["step"] for r in rows], dtype=np.float32), [r["code"] for r in rows])
     near = vectors @ vectors.T
     fresh = np.array([r["fresh"] for r in rows])
     near[~(fresh[:, None] | fresh[None, :])] = -np.inf
+    near[near <= np.array([r["worst"] for r in rows], dtype=np.float32)[:, None]] = -np.inf
     np.fill_diagonal(near, -np.inf)
     take = min(take, len(rows) - 1)
     top = np.argpartition(-near, take - 1, axis=1)[:, :take]
@@ -130,13 +131,13 @@ def start_lists(codes: DataFrame, count: int, size: int, trees: int = 4, room: i
     dealt = codes.mapInArrow(bucket, "node bigint, step float, code binary, keys array<bigint>") \
         .select("node", "step", "code", F.explode("keys").alias("key"))
     sizes = dealt.groupBy("key").count().withColumn("cuts", F.ceil(F.col("count") / (2 * room))).select("key", "cuts")
-    member = F.struct("node", "step", "code", F.lit(True).alias("fresh"))
+    member = F.struct("node", "step", "code", F.lit(True).alias("fresh"), F.lit(-1e9).cast("float").alias("worst"))
     groups = dealt.join(sizes, "key").groupBy("key", F.pmod(F.xxhash64("node", "key"), "cuts").alias("cut")) \
         .agg(F.collect_list(member).alias("members"))
     return gathered(local_join(groups.select(F.xxhash64("key", "cut").alias("part"), "members"), size), size)
 
 
-def descend(codes: DataFrame, size: int = 24, rounds: int = 4, sample: int = 16) -> DataFrame:
+def descend(codes: DataFrame, size: int = 32, rounds: int = 6, sample: int = 20) -> DataFrame:
     """Neighbour graph (node, list): ``size`` nearest nodes found for every node, after ``rounds`` rounds."""
     graph = materialise(start_lists(codes, codes.count(), size), "graph").withColumn("was", F.array().cast(LIST))
     for _ in range(rounds):
@@ -147,10 +148,12 @@ def descend(codes: DataFrame, size: int = 24, rounds: int = 4, sample: int = 16)
                               F.xxhash64("part", "node").alias("draw"))
         ahead = entries.select("part", "node", "fresh", F.xxhash64("node", "part").alias("draw"))
         both = limited(ahead, sample).union(limited(back, sample)).groupBy("part", "node").agg(F.max("fresh").alias("fresh"))
-        members = both.join(codes, "node").groupBy("part").agg(
-            F.collect_list(F.struct("node", "step", "code", "fresh")).alias("members")) \
+        last = F.when(F.size("list") >= size, F.get("list", F.lit(size - 1))["sim"]).otherwise(F.lit(-1e9).cast("float"))
+        worst = codes.join(graph.select("node", last.alias("worst")), "node")
+        members = both.join(worst, "node").groupBy("part").agg(
+            F.collect_list(F.struct("node", "step", "code", "fresh", "worst")).alias("members")) \
             .where(F.exists("members", lambda m: m["fresh"]))
-        offered = local_join(members, 8)
+        offered = local_join(members, 10)
         old = graph.select("node", F.lit(-1).cast("bigint").alias("part"), "list")
         merged = gathered(offered.union(old), size)
         graph = materialise(merged.join(graph.select("node", F.col("list").alias("was")), "node"), "graph")
@@ -163,10 +166,16 @@ def limited(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).select("part", "node", "fresh")
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = 96, expand: int = 16,
-                  rounds: int = 5) -> DataFrame:
+def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = 160, expand: int = 20,
+                  rounds: int = 7, back: int = 16) -> DataFrame:
     """(query, beam) for queries (query, node): the nearest nodes seen when ``rounds`` expansions are done."""
-    edges = graph.select("node", F.transform("list", lambda e: e["node"]).alias("to"))
+    ahead = graph.select("node", F.transform("list", lambda e: e["node"]).alias("to"))
+    turned = graph.select(F.col("node").alias("to"), F.explode("list").alias("e")).select(
+        F.col("e.node").alias("node"), "to", F.row_number().over(Window.partitionBy("e.node").orderBy(
+            F.desc("e.sim"), "to")).alias("_r")).where(F.col("_r") <= back)
+    turned = turned.groupBy("node").agg(F.collect_list("to").alias("back"))
+    edges = materialise(ahead.join(turned, "node", "left").select("node", F.array_union(
+        "to", F.coalesce("back", F.array().cast("array<bigint>"))).alias("to")), "edges")
     kind = pa.list_(pa.struct([("sim", pa.float32()), ("node", pa.int64()), ("done", pa.bool_())]))
     state = "query bigint, step float, code binary, beam array<struct<sim:float,node:bigint,done:boolean>>"
 
@@ -205,8 +214,8 @@ def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam:
     return current.select("query", F.transform("beam", lambda e: e["node"]).alias("beam"))
 
 
-def search(table: DataFrame, is_query: Column, top: int = 20, size: int = 24, rounds: int = 4, beam: int = 96,
-           expand: int = 16, hops: int = 5) -> DataFrame:
+def search(table: DataFrame, is_query: Column, top: int = 20, size: int = 32, rounds: int = 6, beam: int = 160,
+           expand: int = 20, hops: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the ``top`` nearest other rows found for every query row.
 
     Score is the inner product of the original vectors in double precision; ties go to the smaller vec_id.
