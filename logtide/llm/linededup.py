@@ -16,10 +16,10 @@ when an equal line stands earlier, or when a near-equal one of at least ``MIN_WO
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.text import SPACES, words
+from logtide.llm.text import SPACES, bind, words
 from logtide.session import materialise
 
 MIN_WORDS = 8
@@ -74,27 +74,28 @@ def without(tokens: Column, i: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(place, tokens-free key, pos, size): one row per deleted word, and one (pos -1) for the whole line."""
-    t = F.col("tokens")
-    cuts = F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.struct(
-        F.xxhash64(without(t, i)).alias("key"), i.alias("pos")))
-    whole = F.array(F.struct(F.xxhash64(t).alias("key"), F.lit(-1).alias("pos")))
-    return lines.select("place", F.size(t).alias("size"), F.explode(F.concat(cuts, whole)).alias("v")) \
-        .select("place", "size", "v.key", "v.pos")
+    """(place, key, pos, size): one row per deleted word, and one (pos -1) for the whole line; size is what is left."""
+    def of(h: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.struct(
+            F.xxhash64(without(h, i)).alias("key"), i.alias("pos"), (F.size(h) - 1).alias("size")))
+        whole = F.array(F.struct(F.xxhash64(h).alias("key"), F.lit(-1).alias("pos"), F.size(h).alias("size")))
+        return F.concat(cuts, whole)
+
+    hashes = F.transform("tokens", lambda w: F.xxhash64(w))
+    return lines.select("place", F.explode(bind(hashes, of)).alias("v")).select("place", "v.key", "v.pos", "v.size")
 
 
 def yields(rows: DataFrame) -> DataFrame:
-    """(place, to, kind): lines and the earliest line of a group that they must yield to, before verification."""
-    cut = rows.where("pos >= 0")
-    same_spot = cut.groupBy("key", "pos", "size").agg(F.min("place").alias("to"))
-    changed = cut.join(same_spot, ["key", "pos", "size"]).where("place > to").select("place", "to")
-    whole = rows.where("pos < 0").select("key", F.col("size"), F.col("place").alias("short"))
-    longer = cut.select("key", (F.col("size") - 1).alias("size"), F.col("place").alias("long"))
-    added = longer.join(whole, ["key", "size"]).where("long > short") \
-        .select(F.col("long").alias("place"), F.col("short").alias("to"))
-    least = longer.groupBy("key", "size").agg(F.min("long").alias("to"))
-    left_out = whole.join(least, ["key", "size"]).where("short > to").select(F.col("short").alias("place"), "to")
-    return changed.union(added).union(left_out).distinct()
+    """(place, to): lines and the earliest line of a group that they must yield to, before verification.
+
+    The variants are dealt by key once; all groups lie inside a key.
+    """
+    spot, group = Window.partitionBy("key", "size", "pos"), Window.partitionBy("key", "size")
+    met = rows.repartition("key").withColumn("same", F.min("place").over(spot)) \
+        .withColumn("short", F.min(F.when(F.col("pos") < 0, F.col("place"))).over(group)) \
+        .withColumn("long", F.min(F.when(F.col("pos") >= 0, F.col("place"))).over(group))
+    other = F.when(F.col("pos") < 0, F.col("long")).otherwise(F.col("short"))
+    return met.select("place", F.explode(F.filter(F.array("same", other), lambda t: t < F.col("place"))).alias("to")).distinct()
 
 
 def one_edit(a: Column, b: Column) -> Column:
