@@ -56,11 +56,11 @@ def _labelled(run):
 
 def _citations(spark, sf_dir) -> DataFrame:
     """Datasets with a citation count taken from the part table."""
-    top = an.top_datasets(orders_log(spark, sf_dir), 1_000_000)
+    datasets = materialise(an.dataset_table(orders_log(spark, sf_dir)), "datasets")
     part = table(spark, sf_dir, "part").select(
         F.expr("concat('PXD', lpad(CAST(p_partkey AS STRING), 6, '0'))").alias("accession"),
         F.pow(F.col("p_size") % 8, F.lit(2.0)).cast("bigint").alias("citation_count"))
-    return rounded(an.citation_statistics(top.join(part, "accession").select(
+    return rounded(an.citation_statistics(datasets.join(part, "accession").select(
         "accession", "total_downloads", "citation_count",
         (F.col("last_download_year") - F.col("first_download_year") + 1 - F.col(
             "unique_countries") % 4).alias("years_active"))))

@@ -151,5 +151,7 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float],
     for i, (name, p) in enumerate(zip(names, ps)):
         pos = F.lit(float(p)) * (F.col("__n") - 1)
         lo, hi = pick(i, F.floor(pos)), pick(i, F.ceil(pos))
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+        value = lo + (hi - lo) * (pos - F.floor(pos))
+        missed = F.raise_error(F.lit(f"quantile {name}: its rank lies outside the bracket")).cast("double")
+        out.append(F.when((F.col("__n") > 0) & value.isNull(), missed).otherwise(value).alias(name))
     return gathered.select(*keys, *out)

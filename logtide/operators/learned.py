@@ -130,6 +130,13 @@ def _fit_fold(train: DataFrame, held_out: DataFrame, present: list[str], params:
     scaler = PipelineModel([StandardScaler(inputCol="raw", outputCol="features", withMean=True)
                             .fit(train)])
     train, held_out = scaler.transform(train).cache(), scaler.transform(held_out)
+    try:
+        models, sigmoids = _fit_classes(train, held_out, present, params)
+    finally:
+        return models, sigmoids
+
+
+def _fit_classes(train: DataFrame, held_out: DataFrame, present: list[str], params: BoostingParams):
     models, sigmoids = {}, {}
     for name in present:
         target = (F.col("label") == name).cast("double")
@@ -144,8 +151,7 @@ def _fit_fold(train: DataFrame, held_out: DataFrame, present: list[str], params:
             margins.select("y", "weight", array_to_vector("m").alias("v")))
         models[name] = model
         sigmoids[name] = (float(platt.coefficients[0]), float(platt.intercept))
-    train.unpersist()
-    return scaler, models, sigmoids
+    return models, sigmoids
 
 
 def train_calibrated(labelled: DataFrame, params: BoostingParams = BoostingParams(),

@@ -103,12 +103,19 @@ def protocol_year_pivot(log: DataFrame, first: int, last: int) -> DataFrame:
         F.coalesce(F.col(str(y)), F.lit(0)).alias(f"y{y}") for y in years])
 
 
-def top_datasets(log: DataFrame, k: int = 100) -> DataFrame:
+def dataset_table(log: DataFrame) -> DataFrame:
+    """Downloads, places and years of every dataset, without order or limit."""
     return log.filter(F.col("accession").isNotNull()).groupBy("accession").agg(
         _n().alias("total_downloads"), F.countDistinct(LOC).alias("unique_locations"),
         F.countDistinct("country").alias("unique_countries"),
-        F.min("year").alias("first_download_year"), F.max("year").alias("last_download_year")) \
-        .orderBy(F.desc("total_downloads"), "accession").limit(k)
+        F.min("year").alias("first_download_year"), F.max("year").alias("last_download_year"))
+
+
+def top_datasets(log: DataFrame, k: int = 100) -> DataFrame:
+    """The k most downloaded datasets; places are only counted for those."""
+    top = dataset_counts(log).orderBy(F.desc("downloads"), "accession").limit(k)
+    rows = log.join(top.select("accession"), "accession", "left_semi")
+    return dataset_table(rows).orderBy(F.desc("total_downloads"), "accession")
 
 
 def dataset_counts(log: DataFrame) -> DataFrame:
@@ -128,7 +135,7 @@ def concentration(counts: DataFrame) -> DataFrame:
 
     All of it follows from the table of distinct counts; datasets are never ranked one by one.
     """
-    t = value_ranks(counts, "downloads").cache()
+    t = value_ranks(counts, "downloads")
     x, m, below = (F.col(c).cast("double") for c in ("downloads", "cnt", "below"))
     total = F.col("total")
     above = total - F.col("below") - F.col("cnt")

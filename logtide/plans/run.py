@@ -16,7 +16,7 @@ from logtide.operators.rollups import LogViews
 from logtide.operators.seeds import SeedRules
 from logtide.plans import reports
 from logtide.schema import LogSchema, get_schema
-from logtide.session import materialise
+from logtide.session import materialise, release_intermediates
 from logtide.sources.log import read_log
 from logtide.sources.sampling import exact_sample
 from logtide.sources.sinks import write_annotated, write_locations, write_summary
@@ -51,6 +51,10 @@ class RunResult:
     output_path: str | None = None
     model: learned.CalibratedModel | None = None
 
+    def release(self) -> None:
+        """Delete the stored intermediate tables; the frames of this result cannot be read afterwards."""
+        release_intermediates(self.locations.sparkSession)
+
 
 def label_log(log: DataFrame, config: RunConfig, gold: DataFrame | None = None,
               corrections: DataFrame | None = None) -> RunResult:
@@ -80,6 +84,12 @@ def label_log(log: DataFrame, config: RunConfig, gold: DataFrame | None = None,
         "downloads": reports.download_metrics(labelled),
         "geography": reports.geographic_metrics(labelled),
         "summary": reports.run_summary(labelled, config.method),
+        "feature_profile": reports.feature_profile(labelled, [
+            c for c in reports.PROFILED if c in labelled.columns]),
+        "city_rollup": reports.city_rollup(labelled),
+        "hubs": reports.listing(labelled, "hub", "downloads_per_user"),
+        "bots": reports.listing(labelled, "bot", "unique_users"),
+        "prediction": reports.prediction_summary(labelled),
         "top_bots": reports.top_locations(labelled, F.col("is_bot"), "unique_users", 10),
         "top_hubs": reports.top_locations(labelled, F.col("is_hub"), "downloads_per_user", 10),
     }
@@ -109,5 +119,7 @@ def run(spark: SparkSession, path: str, config: RunConfig = RunConfig(),
         write_locations(result.locations, f"{output_dir}/locations")
         write_summary(reports.nested_summary(result.locations, config.method),
                       f"{output_dir}/summary")
+        for name, report in result.reports.items():
+            report.write.mode("overwrite").parquet(f"{output_dir}/reports/{name}")
     return result
 

@@ -13,13 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out over all cores where the file has fewer splits than cores.
-
-    The test tables are single row groups, which one task would read and expand alone. Real logs
-    have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows out evenly: the test tables are single row groups, read by one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _finish(df: DataFrame) -> DataFrame:

@@ -14,15 +14,6 @@ def percent_sample(log: DataFrame, fraction: float, seed: int = 42) -> DataFrame
     return log.sample(fraction=fraction, seed=seed)
 
 
-def oversampled_limit(log: DataFrame, n: int, total: int | None = None,
-                      seed: int = 42) -> DataFrame:
-    """Bernoulli draw of 110 % of ``n`` rows, then a limit; the whole log when it is smaller."""
-    total = log.count() if total is None else total
-    if n >= total:
-        return log
-    return log.sample(fraction=min(1.0, 1.1 * n / total), seed=seed).limit(n)
-
-
 def exact_sample(log: DataFrame, n: int, digits: int = 6) -> DataFrame:
     """Exactly ``n`` rows in the order of a hash of the row (all rows when there are fewer).
 
@@ -62,3 +53,12 @@ def exact_sample(log: DataFrame, n: int, digits: int = 6) -> DataFrame:
             .select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "take")).alias("i"))
             .select(*columns))
     return reduce(DataFrame.unionByName, [whole, edge])
+
+
+def oversampled_limit(log: DataFrame, n: int) -> DataFrame:
+    """``n`` random rows, or the whole log when it is smaller.
+
+    A draw of somewhat more than ``n`` rows and a limit may return too few, and the limit runs in one
+    task; the cut by hash prefixes gives the exact number in parallel.
+    """
+    return exact_sample(log, n)

@@ -182,6 +182,8 @@ def oracles() -> dict[str, str]:
     o["src04_label_table"] = query("orders", [GOLD], "SELECT geo_location, label, split FROM gold")
     o["src05_exact_sample"] = query("events", ["s AS (SELECT * FROM log ORDER BY md5(concat_ws('|', CAST(epoch_us(ts) AS VARCHAR), accession, filename, usr)) LIMIT 1000)"],
       "SELECT country, method, count(*) AS n FROM s GROUP BY 1, 2")
+    o["src06_oversampled_limit"] = query("orders", ["s AS (SELECT * FROM log ORDER BY md5(concat_ws('|', CAST(epoch_us(ts) AS VARCHAR), accession, filename, usr)) LIMIT 500)"],
+      "SELECT method, count(*) AS n FROM s GROUP BY 1")
     o["src07_capped_sample"] = query("events", [], """SELECT geo_location, usr, accession, us, sample_rank FROM (
       SELECT geo_location, usr, accession, epoch_us(ts) AS us, row_number() OVER (PARTITION BY geo_location
         ORDER BY md5(concat_ws('|', CAST(epoch_us(ts) AS VARCHAR), accession, filename, usr))) AS sample_rank FROM v) WHERE sample_rank <= 50""")
