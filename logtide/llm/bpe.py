@@ -57,10 +57,14 @@ def _tokenizer(definition: str):
     return made
 
 
-def encode_words(definition: str, distinct: list[str]) -> list[bytes]:
-    """Ids of every word as little-endian unsigned 32-bit integers."""
-    found = _tokenizer(definition).encode_batch(distinct, add_special_tokens=False)
-    return [array("I", e.ids).tobytes() for e in found]
+def encode_words(definition: str, distinct: list[str], step: int = 4096) -> list[bytes]:
+    """Ids of every word as little-endian unsigned 32-bit integers.
+
+    The library's encodings take about a kilobyte a word, so only ``step`` of them are held at a time.
+    """
+    made = _tokenizer(definition)
+    return [array("I", e.ids).tobytes() for i in range(0, len(distinct), step)
+            for e in made.encode_batch(distinct[i:i + step], add_special_tokens=False)]
 
 
 def encode(docs: DataFrame, definition: str) -> DataFrame:
