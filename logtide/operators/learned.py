@@ -133,7 +133,8 @@ def _fit_fold(train: DataFrame, held_out: DataFrame, present: list[str], params:
     try:
         models, sigmoids = _fit_classes(train, held_out, present, params)
     finally:
-        return models, sigmoids
+        train.unpersist()
+    return scaler, models, sigmoids
 
 
 def _fit_classes(train: DataFrame, held_out: DataFrame, present: list[str], params: BoostingParams):

@@ -48,6 +48,29 @@ def test_boosting_separates_classes(spark):
     assert sum(w for _, w in model.importances()) == pytest.approx(1, abs=0.05)
 
 
+def test_fold_keeps_its_scaler_and_passes_errors_on(spark, monkeypatch):
+    rows = [(f"l{i}", float(i), "bot" if i % 2 else "organic", 1.0, i % 4) for i in range(40)]
+    df = learned.assembled(
+        spark.createDataFrame(rows, "geo_location string, unique_users double, label string, "
+                                    "weight double, part int"), ["unique_users"])
+    df = df.join(spark.createDataFrame(rows, "geo_location string, unique_users double, label string, "
+                                             "weight double, part int"), "geo_location")
+    train, held_out = df.filter("part > 0"), df.filter("part = 0")
+    params = learned.BoostingParams(rounds=1, depth=1, min_leaf=1, folds=2)
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = len(held())
+    scaler, models, sigmoids = learned._fit_fold(train, held_out, ["bot", "organic"], params)
+    assert "features" in scaler.transform(held_out).columns
+    assert sorted(models) == sorted(sigmoids) == ["bot", "organic"]
+
+    def broken(*_):
+        raise ArithmeticError("fit")
+    monkeypatch.setattr(learned, "_fit_classes", broken)
+    with pytest.raises(ArithmeticError):
+        learned._fit_fold(train, held_out, ["bot"], params)
+    assert len(held()) == before
+
+
 def test_isolation_finds_the_outlier(spark):
     rng = np.random.default_rng(5)
     x = pd.DataFrame(rng.normal(0, 1, (400, 2)), columns=["unique_users", "hourly_entropy"])
