@@ -306,6 +306,24 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert "".join(p.write() for p in wrappers.parsed(both).parts) == both
 
 
+def test_wrapper_places_decide_the_content(spark):
+    def page(i, extra=""):
+        return (f"<body><div><p>Fixed line</p></div><section><h2>head {i}</h2></section><div><p>Body {i} text</p></div>{extra}"
+                "<section><h2>Most read</h2></section></body>")
+    rows = [(i, f"http://k.org/{i}", page(i, "<pre>x</pre>" * (i % 2))) for i in range(6)]
+    rows += [(10 + i, f"http://big.org/{i}", page(i, "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(("pre", "h3", "h4", "h5"))
+                                                            if i >> k & 1))) for i in range(16)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for fan in (2, 64):
+        text = {r["page_id"]: r["text"] for r in wrappers.extract(pages, fan).collect()}
+        assert all(text[i] == f"head {i} Body {i} text" for i in (0, 2, 4))
+        assert all(text[10 + i].startswith(f"head {i} Body {i} text") for i in range(16))
+        assert not any("Fixed" in t or "Most" in t for t in text.values())
+        assert text[25] == "head 15 Body 15 text pre 15 h3 15 h4 15 h5 15"
+    made = {r["host"]: r for r in wrappers.infer_wrappers(wrappers.read_pages(pages), 2).collect()}
+    assert sorted(made) == ["big.org", "k.org"] and made["big.org"]["pages"] == 16
+
+
 def test_pipeline_runs_end_to_end(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "bin_id", "n_words", "start"} <= set(rows[0].asDict())
