@@ -162,6 +162,16 @@ def test_quality_separates_shapes(spark):
     assert quality.judge(docs.where("false"), trusted).count() == 0
 
 
+def test_quality_reads_the_words_not_only_their_shapes(spark):
+    rng = random.Random(4)
+    good, spam = words_of(rng, 80, 5000), [f"{a}{b}q" for a in "abcdefgh" for b in "klmnoprs"]
+    texts = [" ".join(rng.choices(good, k=40)) + "." for _ in range(60)]
+    texts += [" ".join(rng.choices(spam, k=40)) + "." for _ in range(20)]
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    rows = {r["doc_id"]: r["kept"] for r in quality.judge(docs_of(spark, texts), trusted).collect()}
+    assert all(rows[i] for i in range(60)) and not any(rows[i] for i in range(60, 80))
+
+
 def test_language_held_out_accuracy(spark):
     rng = random.Random(9)
     letters = {"aa": "abcdefgh", "bb": "nopqrstu", "cc": "áéíóúüñç"}
