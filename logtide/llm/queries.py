@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, langid, linededup, neardup, neighbours, packing, quality, quotes, tokencount, wrappers
+from logtide.llm import (bpe, classifier, langid, linededup, manifest, neardup, neighbours, packing, quality, quotes, runs,
+                         tokencount, wrappers)
 from logtide.session import materialise, shared_path
 
 
@@ -83,6 +84,23 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, a tenth of the documents made periodic."""
+    return runs.detect_runs(table(spark, sf_dir, "documents"), runs.planted)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, one in seven tampered with before its proof is checked."""
+    return manifest.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the documents is held out from training."""
+    docs = table(spark, sf_dir, "documents")
+    scored = classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -94,9 +112,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quotation_linking": op8_quotation_linking,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_wrapper_extraction": op10_wrapper_extraction,
+    "op11_period_runs": op11_period_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle_manifest": manifest.oracle()}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
