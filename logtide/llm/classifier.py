@@ -93,7 +93,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], buckets:
             z[at] += slope - (np.sqrt(n[at] + slope ** 2) - np.sqrt(n[at])) / alpha * w
             n[at] += slope ** 2
     every = leader(np.arange(buckets + 1))
-    return Model(every[:-1].astype(np.float32), float(every[-1]))
+    return Model(every[:-1], float(every[-1]))
 
 
 def held_out(doc_id: Column) -> Column:

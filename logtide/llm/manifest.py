@@ -237,8 +237,8 @@ def oracle(levels: int = 24) -> str:
     crc = ("xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), "
            "lambda b: [ascii(b)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, e: case when e < 0 "
            "then xor(c >> 1, 3988292384 * (c & 1)) else xor(c, e) end), 4294967295::bigint)")
-    parts = [f"d as (select doc_id, coalesce('=' || lang, '-') tree, {leaf()} leaf, case when {crc} % 7 = 0 "
-             f"then {leaf('(n_chars + 1)')} else {leaf()} end cur from documents)",
+    parts = [f"d as (select doc_id, coalesce('=' || lang, '-') tree, {leaf()} leaf, case when doc_id is not null and {crc} % 7 = 0 "
+             f"then {leaf("(n_chars + 1)")} else {leaf()} end cur from documents)",
              "a0 as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 i from d)",
              "n0 as (select tree, i, leaf h from a0)",
              "p0 as (select doc_id, tree, leaf, cur, i, '' proof from a0)"]
