@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logtide.catalogue_labels import label_queries
 from logtide.catalogue_reports import report_queries
+from logtide.catalogue_streams import stream_queries
 from logtide.functions.columns import LOC, left_features, rounded
 from logtide.operators import access, composite, series, temporal, timing, users, volume
 from logtide.operators.rollups import LogViews
@@ -193,4 +194,4 @@ def feature_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {**feature_queries(), **label_queries(), **report_queries()}
+    return {**feature_queries(), **label_queries(), **report_queries(), **stream_queries()}
