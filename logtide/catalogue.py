@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.catalogue_labels import label_queries
+from logtide.catalogue_providers import provider_queries
 from logtide.catalogue_reports import report_queries
 from logtide.catalogue_streams import stream_queries
 from logtide.functions.columns import LOC, left_features, rounded
@@ -194,4 +195,5 @@ def feature_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {**feature_queries(), **label_queries(), **report_queries(), **stream_queries()}
+    return {**feature_queries(), **label_queries(), **report_queries(), **stream_queries(),
+            **provider_queries()}

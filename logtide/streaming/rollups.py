@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from logtide.functions.columns import LOC
 from logtide.operators.rollups import SESSION_GAP
@@ -84,7 +84,8 @@ def stream_sessions(events: DataFrame, target: str, checkpoint: str, lateness: s
 def close_log(spark: SparkSession, folder: str, schema: StructType) -> None:
     """Add the marker file behind which all sessions are closed; later events are late."""
     row = {LOC: END, "ts": datetime(9999, 1, 1)}
-    spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema).coalesce(1).write.mode("append").parquet(folder)
+    nullable = StructType([StructField(f.name, f.dataType) for f in schema])
+    spark.createDataFrame([tuple(row.get(f.name) for f in schema)], nullable).coalesce(1).write.mode("append").parquet(folder)
 
 
 def sessions(spark: SparkSession, target: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """DuckDB oracles for the registered queries."""
 
-from oracles import features, labels, reports, streams
+from oracles import features, labels, providers, reports, streams
 
 
 def all_oracles() -> dict[str, str]:
-    return {**features.oracles(), **labels.oracles(), **reports.oracles(), **streams.oracles()}
+    return {**features.oracles(), **labels.oracles(), **reports.oracles(), **streams.oracles(), **providers.oracles()}
