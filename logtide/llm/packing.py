@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.text import lower_ascii, words
+from logtide.llm.text import bind, lower_ascii, words
 
 CAPACITY = 2048
 BLOCK = 4096
@@ -52,29 +52,36 @@ def pack_block(sizes: list[int], sources: list[object], clusters: list[object],
     return placed
 
 
-def text_cluster(text: Column) -> Column:
-    """Cluster of texts that are equal but for case (A-Z) and white space; null without a word."""
-    tokens = words(lower_ascii(text))
-    return F.when(F.size(tokens) > 0, F.xxhash64(tokens))
+def counted(text: Column) -> Column:
+    """total (words) and cluster of a text: texts that are equal but for case (A-Z) and white space share one, null without a word.
+
+    The words are split once, for both.
+    """
+    return bind(words(lower_ascii(text)), lambda tokens: F.struct(
+        F.size(tokens).alias("total"), F.when(F.size(tokens) > 0, F.xxhash64(tokens)).alias("cluster")))
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, cluster: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, n_words, source, cluster; a text without words is one empty piece."""
-    n = F.size(words(F.col("text")))
-    rows = docs.select("doc_id", "source", text_cluster(F.col("text")).alias("cluster"), n.alias("total"))
+    given = F.lit(None).cast("bigint") if cluster is None else cluster.cast("bigint")
+    rows = docs.select("doc_id", "source", given.alias("given"), F.inline(F.array(counted(F.col("text")))))
+    if cluster is not None:
+        rows = rows.withColumn("cluster", F.col("given"))
     last = F.greatest(F.ceil(F.col("total") / capacity).cast("int") - 1, F.lit(0))
     return rows.select("doc_id", "source", "cluster", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece")) \
         .withColumn("n_words", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, cluster: Column | None = None) -> DataFrame:
     """doc_id, piece, n_words, bin_id and start (offset in words) of every piece of every document.
 
     Two pieces of one bin never share a source or a duplicate cluster; a null source or a text without words
     (null, empty, blank) conflicts with nothing. Equal rows get pieces of their own. Columns other
-    than doc_id, text and source are not read. The number of blocks follows the counted pieces.
+    than doc_id, text and source are not read. The number of blocks follows the counted documents. ``cluster`` names
+    the duplicate cluster of a document, such as a near-duplicate component (null: none); without it documents of
+    equal words share one.
     """
-    cut = pieces(docs, capacity)
+    cut = pieces(docs, capacity, cluster)
     full = cut.where(F.col("n_words") == capacity).select(
         "doc_id", "piece", "n_words", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."),
                                                F.col("piece").cast("string"), F.lit("."),
