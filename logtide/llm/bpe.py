@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -67,11 +67,8 @@ def encode_words(definition: str, distinct: list[str], step: int = 4096) -> list
             for e in made.encode_batch(distinct[i:i + step], add_special_tokens=False)]
 
 
-def encode(docs: DataFrame, definition: str) -> DataFrame:
-    """doc_id, n_tokens and ``ids`` (little-endian unsigned 32-bit integers) of every document's whole text.
-
-    A null or empty text has no ids. Every row is encoded for itself, repeated rows too.
-    """
+def encoder(docs: DataFrame, definition: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """(doc_id, words) of all documents, and the function that turns batches of them into doc_id, n_tokens and ids."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +84,15 @@ def encode(docs: DataFrame, definition: str) -> DataFrame:
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "n_tokens", "ids"])
 
-    split = docs.select("doc_id", words(F.col("text"), special_tokens(definition)).alias("words"))
+    return docs.select("doc_id", words(F.col("text"), special_tokens(definition)).alias("words")), run
+
+
+def encode(docs: DataFrame, definition: str) -> DataFrame:
+    """doc_id, n_tokens and ``ids`` (little-endian unsigned 32-bit integers) of every document's whole text.
+
+    A null or empty text has no ids. Every row is encoded for itself, repeated rows too.
+    """
+    split, run = encoder(docs, definition)
     return split.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
 

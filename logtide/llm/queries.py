@@ -41,8 +41,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by separators in the token files written from the documents."""
     folder = shared_path(spark, "token-store")
     separator = 50257  # the first id behind the vocabulary, so no text can hold it
-    placed = materialise(tokencount.write_store(bpe.encode(table(spark, sf_dir, "documents"), tokenizer()),
-                                                folder, separator), "placed")
+    split, to_ids = bpe.encoder(table(spark, sf_dir, "documents"), tokenizer())
+    placed = materialise(tokencount.write_store(split, folder, separator, before=to_ids), "placed")
     return placed.join(tokencount.scan(spark, folder, separator), ["file", "nth"]).select("doc_id", "n_tokens")
 
 

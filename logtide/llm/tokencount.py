@@ -9,7 +9,7 @@ inside runs of ranges and then over the runs' totals, carries open documents acr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 RUN = 1024
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -28,9 +29,12 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return found, path.rstrip("/")
 
 
-def write_store(encoded: DataFrame, folder: str, separator: int, width: int = 2) -> DataFrame:
+def write_store(rows: DataFrame, folder: str, separator: int, width: int = 2, before: Batches | None = None) -> DataFrame:
     """Write ids (binary, 32-bit) to one token file per task; returns doc_id, file and nth (place in the file).
 
+    ``rows`` has ``doc_id`` and ``ids``. With ``before`` it has doc_id and what that function makes ids of, batch by
+    batch, so that ids are made and written by one worker and never pass through the JVM.
+
     Files are written under a name of the attempt and renamed when whole, so a repeated task leaves one
     file. A document without ids is a separator only; an id equal to the separator is an error. The frame
     must be stored before the scan starts.
@@ -44,8 +48,9 @@ def write_store(encoded: DataFrame, folder: str, separator: int, width: int = 2)
         name, nth = f"tokens-{task.partitionId():06d}.bin", 0
         draft = f"{base}/.{name}.{task.taskAttemptId()}"
         with system.open_output_stream(draft) as out:
-            for batch in batches:
-                for packed in batch.column(1).to_pylist():
+            for batch in before(batches) if before else batches:
+                for packed in batch.column("ids"):
+                    packed = packed.as_py()
                     ids = np.frombuffer(packed or b"", dtype="<u4")
                     if len(ids) and (ids.max() > np.iinfo(kind).max or (ids == separator).any()):
                         raise ValueError(f"an id is the separator or does not fit {width} bytes")
@@ -56,7 +61,8 @@ def write_store(encoded: DataFrame, folder: str, separator: int, width: int = 2)
                 nth += batch.num_rows
         system.move(draft, f"{base}/{name}")
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, file string, nth bigint")
+    given = rows if before else rows.select("doc_id", "ids")
+    return given.mapInArrow(run, "doc_id bigint, file string, nth bigint")
 
 
 def ranges(spark: SparkSession, folder: str, width: int, block_bytes: int) -> DataFrame:
@@ -101,7 +107,7 @@ def scan(spark: SparkSession, folder: str, separator: int, width: int = 2, block
                     + [pa.array([whole.tolist()], lists)], names=["range", "file", "ends", "head", "tail", "whole"])
 
     cut = ranges(spark, folder, width, block_bytes)
-    spread = cut.repartition(max(1, cut.count()) if cut.count() < 4096 else 4096, "range")
+    spread = cut.repartition(min(max(1, cut.count()), 4096), "range")
     found = spread.mapInArrow(search, "range bigint, file string, ends bigint, head bigint, tail bigint, whole array<bigint>")
     return stitched(found)
 
