@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by largest inner product: NN-descent graph and greedy graph search.
 
-Equal vectors form one node. One added coordinate brings all nodes to one length, so that near by angle means
-near for the inner product too. The graph starts from lists found inside random-hyperplane buckets; every
+Equal vectors form one node. One added coordinate, kept as a float, brings all nodes to one length, so that near by
+angle means near for the inner product too. The graph starts from lists found inside random-hyperplane buckets; every
 round then brings the neighbours and (sampled) reverse neighbours of each node together by joins, and each
 of them offers the others its best ones. Only entries that are new since the last round are compared.
-A query starts at its own node; each round expands the best entries of its beam that are not yet
-expanded, by a join with the graph and the nearest of its reverse edges. Graph and beam work on vectors rounded to 8 bits; the beam's end is
+A query starts at its own node and at the longest vectors; each round expands the best entries of its beam that are not yet
+expanded, by a join with the graph and the nearest of its reverse edges. Graph and beam work on vectors rounded to 8 bits of their own scale; the beam's end is
 scored again on the original vectors in double precision.
 
 Every row is indexed. Lists, samples and beams have fixed lengths; these are the parameters of the method.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from logtide.session import materialise
 
 LIST = "array<struct<sim:float,node:bigint>>"
+UNSCORED = -1e9
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -36,29 +37,34 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 
 
 def coded(nodes: DataFrame) -> DataFrame:
-    """node and code: the vector with its added coordinate, at length 1, rounded to 8-bit steps."""
+    """node, step and code: coordinates in 8-bit steps of the vector's own scale, then the added coordinate as a float.
+
+    All are divided by the longest length, so that with the added coordinate every node has length 1.
+    """
     square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     longest = nodes.agg(F.max(square)).collect()[0][0] or 1.0
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(batch.num_rows, -1)
-            rest = np.sqrt(np.maximum(longest - (rows * rows).sum(axis=1), 0))
-            unit = np.column_stack([rows, rest]) / np.sqrt(longest)
-            scale = 127 / np.maximum(np.abs(unit).max(axis=1, keepdims=True), 1e-12)
-            steps = np.rint(unit * scale).astype(np.int8)
+            rows = flat.reshape(batch.num_rows, -1) / np.sqrt(longest)
+            rest = np.sqrt(np.maximum(1 - (rows * rows).sum(axis=1), 0)).astype("<f4")
+            step = np.abs(rows).max(axis=1) / 127
+            steps = np.rint(rows / step[:, None]).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array((1 / scale[:, 0]).astype(np.float32)),
-                 pa.array([r.tobytes() for r in steps], pa.binary())], names=["node", "step", "code"])
+                [batch.column(0), pa.array(step.astype(np.float32)),
+                 pa.array([r.tobytes() + x.tobytes() for r, x in zip(steps, rest, strict=True)], pa.binary())],
+                names=["node", "step", "code"])
 
     return nodes.select("node", "embedding").where("node is not null").mapInArrow(
         code, "node bigint, step float, code binary")
 
 
 def unpack(steps: np.ndarray, codes: list[bytes]) -> np.ndarray:
-    rows = np.frombuffer(b"".join(codes), dtype=np.int8).reshape(len(codes), -1).astype(np.float32)
-    return rows * steps[:, None]
+    """Vectors with the added coordinate last."""
+    rows = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1)
+    rest = np.ascontiguousarray(rows[:, -4:]).view("<f4").astype(np.float64)
+    return np.hstack([rows[:, :-4].view(np.int8) * np.asarray(steps, dtype=np.float64)[:, None], rest])
 
 
 def best(lists: Column, size: int) -> Column:
@@ -79,7 +85,8 @@ def gathered(offers: DataFrame, size: int) -> DataFrame:
 def offers_within(rows: list[dict], take: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """Each member's best fellows of one group, if they beat the last entry of its list and one of the two is fresh."""
     vectors = unpack(np.array([r["step"] for r in rows], dtype=np.float32), [r["code"] for r in rows])
-    near = vectors @ vectors.T
+    half = (vectors * vectors).sum(axis=1) / 2
+    near = (vectors @ vectors.T - half[:, None] - half[None, :]).astype(np.float32)
     fresh = np.array([r["fresh"] for r in rows])
     near[~(fresh[:, None] | fresh[None, :])] = -np.inf
     near[near <= np.array([r["worst"] for r in rows], dtype=np.float32)[:, None]] = -np.inf
@@ -114,13 +121,16 @@ def local_join(groups: DataFrame, take: int) -> DataFrame:
 
 
 def start_lists(codes: DataFrame, count: int, size: int, trees: int = 4, room: int = 96, seed: int = 5) -> DataFrame:
-    """First lists: buckets of equal signs at random hyperplanes, cut by a hash into groups of about ``room``."""
+    """First lists: buckets of equal signs at random hyperplanes, cut by a hash into groups of about ``room``.
+
+    One more grouping is by a hash of the node alone, so that a node far from all others gets a list too.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, count) / room))))
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for batch in batches:
-            rows = unpack(np.ones(batch.num_rows, dtype=np.float32), batch.column(2).to_pylist())
+            rows = unpack(np.ones(batch.num_rows), batch.column(2).to_pylist())[:, :-1]
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(rows.shape[1], trees * max(1, bits))).astype(np.float32)
             signs = (rows @ planes > 0).reshape(batch.num_rows, trees, -1)[:, :, :bits]
@@ -129,7 +139,8 @@ def start_lists(codes: DataFrame, count: int, size: int, trees: int = 4, room: i
                 [*batch.columns, pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "step", "code", "keys"])
 
     dealt = codes.mapInArrow(bucket, "node bigint, step float, code binary, keys array<bigint>") \
-        .select("node", "step", "code", F.explode("keys").alias("key"))
+        .select("node", "step", "code", F.explode(F.array_append("keys", F.lit(trees << 48) + F.pmod(
+            F.xxhash64("node", F.lit(seed)), F.lit(max(1, count // room))))).alias("key"))
     sizes = dealt.groupBy("key").count().withColumn("cuts", F.ceil(F.col("count") / (2 * room))).select("key", "cuts")
     member = F.struct("node", "step", "code", F.lit(True).alias("fresh"), F.lit(-1e9).cast("float").alias("worst"))
     groups = dealt.join(sizes, "key").groupBy("key", F.pmod(F.xxhash64("node", "key"), "cuts").alias("cut")) \
@@ -149,14 +160,17 @@ def descend(codes: DataFrame, size: int = 32, rounds: int = 6, sample: int = 20)
         ahead = entries.select("part", "node", "fresh", F.xxhash64("node", "part").alias("draw"))
         both = limited(ahead, sample).union(limited(back, sample)).groupBy("part", "node").agg(F.max("fresh").alias("fresh"))
         last = F.when(F.size("list") >= size, F.get("list", F.lit(size - 1))["sim"]).otherwise(F.lit(-1e9).cast("float"))
-        worst = codes.join(graph.select("node", last.alias("worst")), "node")
+        worst = codes.join(graph.select("node", last.alias("worst")), "node", "left") \
+            .withColumn("worst", F.coalesce("worst", F.lit(-1e9).cast("float")))
         members = both.join(worst, "node").groupBy("part").agg(
             F.collect_list(F.struct("node", "step", "code", "fresh", "worst")).alias("members")) \
             .where(F.exists("members", lambda m: m["fresh"]))
         offered = local_join(members, 10)
         old = graph.select("node", F.lit(-1).cast("bigint").alias("part"), "list")
         merged = gathered(offered.union(old), size)
-        graph = materialise(merged.join(graph.select("node", F.col("list").alias("was")), "node"), "graph")
+        was = graph.select("node", F.col("list").alias("was"))
+        graph = materialise(merged.join(was, "node", "left").withColumn(
+            "was", F.coalesce("was", F.array().cast(LIST))), "graph")
     return graph.select("node", "list")
 
 
@@ -166,9 +180,18 @@ def limited(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).select("part", "node", "fresh")
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = 160, expand: int = 20,
-                  rounds: int = 7, back: int = 16) -> DataFrame:
-    """(query, beam) for queries (query, node): the nearest nodes seen when ``rounds`` expansions are done."""
+def longest_nodes(nodes: DataFrame, count: int) -> list[int]:
+    """The ``count`` longest vectors' nodes, on the driver: whatever the direction, they are likely answers."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
+    return [r["node"] for r in nodes.orderBy(square.desc(), "node").limit(count).select("node").collect()]
+
+
+def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, entries: list[int], beam: int = 160,
+                  expand: int = 20, rounds: int = 7, back: int = 16) -> DataFrame:
+    """(query, beam) for queries (query, node): the nearest nodes seen when ``rounds`` expansions are done.
+
+    A search starts at the query's own node and at ``entries``, together at most ``expand`` nodes.
+    """
     ahead = graph.select("node", F.transform("list", lambda e: e["node"]).alias("to"))
     turned = graph.select(F.col("node").alias("to"), F.explode("list").alias("e")).select(
         F.col("e.node").alias("node"), "to", F.row_number().over(Window.partitionBy("e.node").orderBy(
@@ -183,22 +206,24 @@ def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam:
         for batch in batches:
             beams = []
             for row in batch.to_pylist():
-                own = np.frombuffer(row["code"], dtype=np.int8).astype(np.float32)
+                own = unpack(np.ones(1), [row["code"]])[0]
                 own[-1] = 0
                 held = {e["node"]: (e["sim"], True if k < expand else e["done"]) for k, e in enumerate(
                     sorted(row["beam"], key=lambda e: (e["done"], -e["sim"], e["node"])))}
-                new = [c for c in row["found"] or () if c["node"] not in held]
+                new = [c for c in row["found"] or () if c["node"] not in held or held[c["node"]][0] == UNSCORED]
                 if new:
-                    sims = unpack(np.array([c["step"] for c in new], dtype=np.float32), [c["code"] for c in new]) @ own
-                    held |= {c["node"]: (float(s), False) for c, s in zip(new, sims, strict=True)}
+                    sims = unpack(np.array([c["step"] for c in new]), [c["code"] for c in new]) @ own
+                    held |= {c["node"]: (float(s), c["node"] in held) for c, s in zip(new, sims, strict=True)}
                 top = sorted(held.items(), key=lambda x: (-x[1][0], x[0]))[:beam]
                 beams.append([{"sim": s, "node": n, "done": d} for n, (s, d) in top])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(beams, kind)],
                                              names=["query", "step", "code", "beam"])
 
     begin = queries.join(codes, "node").join(edges, "node", "left").select(
-        "query", "step", "code", F.array(F.struct(F.lit(-1e9).cast("float").alias("sim"), F.col("node"), F.lit(False)
-                                                  .alias("done"))).alias("beam"))
+        "query", "step", "code", F.transform(
+            F.array_distinct(F.array("node", *[F.lit(n).cast("bigint") for n in entries])),
+            lambda n: F.struct(F.lit(UNSCORED).cast("float").alias("sim"), n.alias("node"), F.lit(False).alias("done")))
+        .alias("beam"))
     current = begin
     for _ in range(rounds + 1):
         waiting = F.slice(F.array_sort(F.filter("beam", lambda e: ~e["done"]), lambda a, b: F.when(
@@ -231,7 +256,7 @@ def search(table: DataFrame, is_query: Column, top: int = 20, size: int = 32, ro
     codes = materialise(coded(nodes), "codes")
     graph = descend(codes, size, rounds)
     asked = member.where(is_query).select(F.col("vec_id").alias("query"), "node")
-    found = greedy_search(asked, graph, codes, beam, expand, hops)
+    found = greedy_search(asked, graph, codes, longest_nodes(nodes, expand - 4), beam, expand, hops)
     first = Window.partitionBy("node").orderBy("vec_id")
     copies = member.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top + 1).select("node", "vec_id")
     pairs = found.select("query", F.explode("beam").alias("node")).distinct()

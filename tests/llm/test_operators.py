@@ -233,6 +233,32 @@ def test_nearest_neighbours(spark):
     assert neighbours.search(table.where("false"), F.col("vec_id") == 0, rounds=1, hops=1).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "outlier", "opposite"])
+def test_nearest_neighbours_of_uneven_vectors(spark, kind):
+    rng = np.random.default_rng(11)
+    if kind == "opposite":
+        made = np.ones((600, 6)) + rng.normal(size=(600, 6)) * 0.01
+        made[:3] *= -1
+    else:
+        made = rng.normal(size=(600, 16))
+        made /= np.linalg.norm(made, axis=1, keepdims=True)
+        if kind == "lognormal":
+            made *= rng.lognormal(size=(600, 1))
+        else:
+            made[7] *= 100
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "vec_id long, embedding array<float>")
+    found = neighbours.search(table, F.col("vec_id") % 20 == 0, rounds=3, hops=3).collect()
+    flat = made.astype(np.float32).astype(np.float64)
+    hit = 0
+    for q in range(0, 600, 20):
+        score = flat @ flat[q]
+        order = sorted((i for i in range(600) if i != q), key=lambda i: (-score[i], i))[:20]
+        mine = [r["vec_id"] for r in found if r["query_id"] == q]
+        assert len(set(mine)) == 20
+        hit += len(set(mine) & set(order))
+    assert hit / (30 * 20) >= 0.9
+
+
 def test_packing_is_best_fit_and_free_of_conflicts(spark):
     rng = random.Random(8)
     sizes = [rng.randrange(1, 60) for _ in range(200)]
