@@ -357,11 +357,15 @@ def surrogate_importances(locations: DataFrame, columns: list[str], label: Colum
     """Impurity importance and mean AUC drop when one feature is permuted.
 
     A permutation pairs every location with another one by joining two random ranks; all
-    features of one repeat share it.
+    features of one repeat share it. Where all labels are equal there is nothing to tell apart:
+    no split is made, no permutation changes a prediction, and both measures are 0.
     """
     spark = locations.sparkSession
     names = [c for c in columns if c in locations.columns]
     rows = _surrogate_rows(locations, names, label)
+    if rows.select("y").distinct().count() < 2:
+        return spark.createDataFrame([(c, 0.0, 0.0) for c in names],
+                                     "feature string, gini double, permutation double")
     model = _forest(rows, trees, depth, 1, seed)
     auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction")
     full = auc.evaluate(model.transform(rows))
