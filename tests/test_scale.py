@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from logtide.llm import quality
 from logtide.operators import learned
 
 
@@ -14,3 +15,37 @@ def test_importances_of_a_single_class_are_zero(spark, bot):
     found = learned.surrogate_importances(rows, ["unique_users", "hourly_entropy"], F.lit(bot), trees=3, repeats=1,
                                           depth=3).collect()
     assert [tuple(r) for r in found] == [("unique_users", 0.0, 0.0), ("hourly_entropy", 0.0, 0.0)]
+
+
+def test_every_trusted_document_fits_the_target(spark):
+    """More trusted documents than the 20,000 that once fitted it; repeated rows count, null and repeated ids do not."""
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id").cast("string"))
+                                 .alias("text"))
+    docs = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    ids = spark.range(n).select(F.col("id").alias("doc_id"))
+    trusted = ids.union(ids.where("doc_id < 5")).union(ids.limit(1).select(F.lit(None).cast("long")))
+    halves = quality.trusted_halves(trusted)
+    target = quality.trusted_grams(docs, halves)
+    assert halves.count() == n and target.count() == n + 1
+    # All but the document without an id are trusted, so both multinomials are almost equal.
+    ratios = quality.log_ratios(docs, halves, target).first()
+    assert len(ratios["llr"]) == quality.BUCKETS and max(map(abs, ratios["llr"])) < 0.3
+    assert quality.log_ratios(docs, quality.trusted_halves(trusted.where("false")), target.where("false")) \
+        .first()["llr"] == [0.0] * quality.BUCKETS
+
+
+def test_log_ratios_count_all_documents(spark):
+    texts = ["a b c", "a a d", "d e f", "", None, "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[1]), (None, "x y")], "doc_id long, text string")
+    halves = quality.trusted_halves(spark.createDataFrame([(1,), (2,), (4,)], "doc_id long"))
+    found = quality.log_ratios(docs, halves, quality.trusted_grams(docs, halves)).first()
+    grams = docs.select("doc_id", quality.grams(F.col("text")).alias("g")).collect()
+    raw, t = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    for r in grams:
+        for b in r["g"]:
+            raw[b] += 1
+            t[b] += r["doc_id"] in (1, 2, 4)
+    import math
+    expected = [math.log((x + 1) / (y * sum(t) / sum(raw) + 1)) for x, y in zip(t, raw)]
+    assert found["llr"] == pytest.approx(expected)
