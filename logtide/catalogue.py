@@ -36,11 +36,6 @@ def events_views(spark: SparkSession, sf_dir: str) -> LogViews:
     return LogViews(events_log(spark, sf_dir), schema())
 
 
-def _store(v: LogViews) -> LogViews:
-    """The same views over a log written once, for features that scan it several times."""
-    return LogViews(materialise(v.log, "log"), v.schema, durable=True)
-
-
 def _on(make_views, feature, **digits) -> Query:
     return lambda spark, sf_dir: rounded(feature(make_views(spark, sf_dir)), **digits)
 
@@ -56,14 +51,20 @@ def _exploded(period: str):
 
 def _base_with(views: LogViews, *groups) -> DataFrame:
     """Base statistics plus feature groups given as (function, defaults)."""
-    if len(groups) > 1:
-        views = _store(views)
+    if groups:
+        views = views.stored()
     table = volume.base_stats(views)
     for feature, defaults in groups:
         table = left_features(table, feature(views), defaults)
     return materialise(table, "locations")
 
 
+def _hourly_users(v: LogViews) -> DataFrame:
+    v = volume.base_views(v)
+    v.hour_users  # written first: the hours are read from it
+    return volume.hourly_users(v, _base_with(v))
+
+
 def _country_rollup(v: LogViews) -> DataFrame:
     return volume.country_rollup(
         _base_with(v, (temporal.yearly_pattern, temporal.YEARLY_DEFAULTS)))
@@ -130,8 +131,7 @@ def feature_queries() -> dict[str, Query]:
     o, e = orders_views, events_views
     return {
         "fe01_base_location_stats": _on(o, volume.base_stats),
-        "fe02_hourly_user_density": _on(
-            o, lambda v: volume.hourly_users(v, _base_with(v))),
+        "fe02_hourly_user_density": _on(o, _hourly_users),
         "fe03_project_concentration": _on(o, volume.project_concentration),
         "fe04_yearly_pattern": _on(o, temporal.yearly_pattern),
         "fe05_time_of_day": _on(e, temporal.time_of_day),

@@ -114,11 +114,11 @@ def views_of(spark: SparkSession, sf_dir: str, source=orders_log) -> LogViews:
 
 def stored_views(spark: SparkSession, sf_dir: str, source=orders_log) -> LogViews:
     """Views over the canonical log written once, for queries that scan it several times."""
-    v = views_of(spark, sf_dir, source)
-    return LogViews(materialise(v.log, "log"), v.schema, durable=True)
+    return views_of(spark, sf_dir, source).stored()
 
 
 def light_table(views: LogViews) -> DataFrame:
+    views = volume.base_views(views)
     return left_features(volume.base_stats(views), temporal.time_of_day(views),
                          temporal.TIME_OF_DAY_DEFAULTS)
 
@@ -130,6 +130,7 @@ def light_labels(views: LogViews, ruleset: RuleSet = LIGHT) -> DataFrame:
 
 
 def rich_table(views: LogViews) -> DataFrame:
+    views.hour_users  # written first: the hours are read from it
     out = light_table(views)
     for feature, defaults in (
             (volume.project_concentration, volume.PROJECT_DEFAULTS),

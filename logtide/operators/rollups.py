@@ -24,18 +24,28 @@ class LogViews:
     """Lazy views over a canonical log.
 
     ``durable=True`` writes each roll-up once to the shared folder, for runs that build all
-    feature groups from them.
+    feature groups from them; with ``kept`` only those named there.
     """
 
-    SHARED = ("hour", "hour_users", "user", "user_activity", "project", "file", "half_hour")
+    SHARED = ("hour_users", "user", "user_days", "user_files", "project", "file", "half_hour")
 
-    def __init__(self, log: DataFrame, schema: LogSchema, durable: bool = False):
+    def __init__(self, log: DataFrame, schema: LogSchema, durable: bool = False,
+                 kept: tuple[str, ...] | None = None):
         self.log = log
         self.schema = schema
         self.durable = durable
+        self.kept = kept
+
+    def stored(self, *columns: str, kept: tuple[str, ...] | None = None) -> LogViews:
+        """Durable views over a log written once (only ``columns``, if given), for several scans."""
+        if self.durable:
+            return self
+        log = self.log.select(*columns) if columns else self.log
+        return LogViews(materialise(log, "log"), self.schema, durable=True, kept=kept)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return materialise(df, name) if self.durable else df
+        wanted = self.durable and (self.kept is None or name in self.kept)
+        return materialise(df, name) if wanted else df
 
     @cached_property
     def located(self) -> DataFrame:
@@ -51,7 +61,12 @@ class LogViews:
 
     @cached_property
     def hour(self) -> DataFrame:
-        """(location, hour, year) counts; day, week, year and hour-of-day series derive from it."""
+        """(location, hour, year) counts; day, week, year and hour-of-day series derive from it.
+
+        They are read from ``hour_users`` where that is already written.
+        """
+        if self.durable and "hour_users" in self.__dict__:
+            return self.hour_users.drop("users")
         return self._keep(
             self.valid.groupBy(LOC, F.date_trunc("hour", "ts").alias("hour_ts"), "year")
             .agg(F.count(F.lit(1)).alias("n")), "hour")
@@ -62,10 +77,10 @@ class LogViews:
 
     @cached_property
     def hour_users(self) -> DataFrame:
-        """(location, hour, year) distinct non-null users; 0 for hours with none."""
+        """(location, hour, year) counts and distinct non-null users; 0 users for hours with none."""
         return self._keep(
             self.valid.groupBy(LOC, F.date_trunc("hour", "ts").alias("hour_ts"), "year")
-            .agg(F.countDistinct("usr").alias("users")), "hour_users")
+            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("usr").alias("users")), "hour_users")
 
     @cached_property
     def day(self) -> DataFrame:
@@ -94,18 +109,30 @@ class LogViews:
 
     @cached_property
     def user(self) -> DataFrame:
-        """(location, user) counts."""
-        return self._keep(self.located.filter(F.col("usr").isNotNull())
-                          .groupBy(LOC, "usr").agg(F.count(F.lit(1)).alias("n")), "user")
+        """(location, user) counts: all events, those with a file and valid ones from ``min_year`` on."""
+        in_years = F.col("ts").isNotNull() & (F.col("year") >= self.schema.min_year)
+        return self._keep(self.located.filter(F.col("usr").isNotNull()).groupBy(LOC, "usr").agg(
+            F.count(F.lit(1)).alias("n"), F.count("filename").alias("n_file"),
+            F.count_if(in_years).alias("n_year")), "user")
+
+    @cached_property
+    def user_days(self) -> DataFrame:
+        """Distinct (user, day) pairs per location, over events with a file and a time."""
+        return self._keep(
+            self._user_events.filter(F.col("ts").isNotNull())
+            .select(LOC, "usr", F.date_trunc("day", "ts").alias("day")).distinct()
+            .groupBy(LOC).agg(F.count(F.lit(1)).alias("days")), "user_days")
 
     @cached_property
-    def user_activity(self) -> DataFrame:
-        """(location, user) counts with distinct files and days, over events with a file."""
+    def user_files(self) -> DataFrame:
+        """Distinct (user, file) pairs per location."""
         return self._keep(
-            self.located.filter(F.col("usr").isNotNull() & F.col("filename").isNotNull())
-            .groupBy(LOC, "usr")
-            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filename").alias("files"),
-                 F.countDistinct(F.date_trunc("day", "ts")).alias("days")), "user_activity")
+            self._user_events.select(LOC, "usr", "filename").distinct()
+            .groupBy(LOC).agg(F.count(F.lit(1)).alias("files")), "user_files")
+
+    @cached_property
+    def _user_events(self) -> DataFrame:
+        return self.located.filter(F.col("usr").isNotNull() & F.col("filename").isNotNull())
 
     @cached_property
     def project(self) -> DataFrame:

@@ -43,10 +43,18 @@ AUTHENTICITY_DEFAULTS = {"user_homogeneity_score": 0.0, "bot_farm_score": 0.0,
 
 def user_authenticity(views: LogViews, farm_users: int = 100,
                       farm_homogeneity: float = 2.0) -> DataFrame:
-    stats = views.user_activity.groupBy(LOC).agg(
-        F.count(F.lit(1)).alias("users"), F.avg("n").alias("mean"),
-        F.stddev_samp("n").alias("sd"), F.avg("days").alias("avg_active_days_per_user"),
-        F.avg("files").alias("avg_files_per_user"))
+    """Evenness of the users' counts and their mean days and files, over events with a file.
+
+    Means over users need only the number of distinct (user, day) and (user, file) pairs, each
+    counted by itself: no aggregation carries several distinct counts.
+    """
+    views = views.stored(LOC, "usr", "filename", "ts", "year")
+    users = views.user.filter("n_file > 0").groupBy(LOC).agg(
+        F.count(F.lit(1)).alias("users"), F.avg("n_file").alias("mean"),
+        F.stddev_samp("n_file").alias("sd"))
+    stats = users.join(views.user_days, LOC, "left").join(views.user_files, LOC, "left").withColumns({
+        "avg_active_days_per_user": F.coalesce("days", F.lit(0)) / F.col("users"),
+        "avg_files_per_user": F.col("files") / F.col("users")})
     homogeneity = positive(F.col("sd"), F.col("mean") / F.col("sd"), 0)
     users, h = F.col("users"), F.col("user_homogeneity_score")
     return stats.withColumn("user_homogeneity_score", homogeneity).select(

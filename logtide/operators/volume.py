@@ -23,16 +23,32 @@ def main_place(log: DataFrame) -> DataFrame:
         .select(LOC, F.col("b.country"), "city")
 
 
+BASE_COLUMNS = [LOC, "country", "city", "usr", "accession", "filename", "ts", "year"]
+
+
+def base_views(views: LogViews) -> LogViews:
+    """Views over the log's base columns, written once; of the roll-ups only the hours, read several times."""
+    return views.stored(*BASE_COLUMNS, kept=("hour", "hour_users"))
+
+
 def base_stats(views: LogViews) -> DataFrame:
-    """Location totals. A location seen with several countries keeps its most frequent one."""
-    out = views.valid_year.groupBy(LOC).agg(
-        F.countDistinct("usr").alias("unique_users"),
-        F.count(F.lit(1)).alias("total_downloads"),
-        F.countDistinct("accession").alias("unique_projects"),
-        F.countDistinct(F.date_trunc("hour", "ts")).alias("active_hours"),
-        F.countDistinct("year").alias("years_active"),
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
+    """Location totals. A location seen with several countries keeps its most frequent one.
+
+    Each distinct count is read from its own narrow roll-up. Several of them in one aggregation
+    would repeat every event once for each, with all their columns as keys.
+    """
+    views = base_views(views)
+    hours = views.hour_year.groupBy(LOC).agg(
+        F.sum("n").alias("total_downloads"), F.countDistinct("hour_ts").alias("active_hours"))
+    years = views.year.groupBy(LOC).agg(
+        F.count(F.lit(1)).alias("years_active"), F.min("year").alias("first_year"),
+        F.max("year").alias("last_year"))
+    users = views.user.filter("n_year > 0").groupBy(LOC).agg(F.count(F.lit(1)).alias("unique_users"))
+    projects = views.project.groupBy(LOC).agg(F.count(F.lit(1)).alias("unique_projects"))
+    out = hours.join(years, LOC).join(users, LOC, "left").join(projects, LOC, "left").select(
+        LOC, F.coalesce("unique_users", F.lit(0)).alias("unique_users"), "total_downloads",
+        F.coalesce("unique_projects", F.lit(0)).alias("unique_projects"), "active_hours",
+        "years_active", "first_year", "last_year",
     ).withColumn("downloads_per_user", ratio(F.col("total_downloads"), F.col("unique_users")))
     kept = minimum_volume(out, views.schema.min_location_downloads)
     return kept.join(main_place(views.valid_year), LOC, "left")
@@ -95,16 +111,14 @@ def protocol_mix(views: LogViews) -> DataFrame:
     if views.schema.method_field is None:
         return views.valid_year.select(LOC).distinct().select(
             LOC, *[F.lit(v).alias(k) for k, v in PROTOCOL_DEFAULTS.items()])
-    m = F.lower("method")
-    share = {
-        "http": F.avg(F.when(m == "http", 1.0).otherwise(0.0)),
-        "ftp": F.avg(F.when(m == "ftp", 1.0).otherwise(0.0)),
-        "aspera": F.avg(F.when(m.contains("aspera"), 1.0).otherwise(0.0)),
-        "globus": F.avg(F.when(m.contains("globus"), 1.0).otherwise(0.0)),
-    }
-    out = views.valid_year.groupBy(LOC).agg(
-        *[c.alias(f"{k}_ratio") for k, c in share.items()],
-        F.countDistinct("method").alias("protocol_diversity"))
+    m, n = F.lower("method"), F.col("n")
+    uses = {"http": m == "http", "ftp": m == "ftp", "aspera": m.contains("aspera"),
+            "globus": m.contains("globus")}
+    # A few methods per location, so the texts are compared once for each and not for each event.
+    methods = views.valid_year.groupBy(LOC, "method").agg(F.count(F.lit(1)).alias("n"))
+    out = methods.groupBy(LOC).agg(
+        *[(F.sum(F.when(c, n).otherwise(0)) / F.sum(n)).alias(f"{k}_ratio") for k, c in uses.items()],
+        F.count("method").alias("protocol_diversity"))
     score = sum((F.col(f"{k}_ratio") * w for k, w in PROTOCOL_WEIGHTS.items()), F.lit(0.0))
     return out.withColumn("protocol_legitimacy_score", score)
 

@@ -27,19 +27,22 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, od, su, na, re = (table(spark, sf_dir, t)
                           for t in ("lineitem", "orders", "supplier", "nation", "region"))
     places = su.join(na, F.col("s_nationkey") == F.col("n_nationkey")) \
-        .join(re, F.col("n_regionkey") == F.col("r_regionkey"))
-    items = _spread(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                              "l_shipdate"))
-    rows = items.join(od, F.col("l_orderkey") == F.col("o_orderkey")) \
-        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-    return _finish(rows.select(
+        .join(re, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "s_suppkey",
         F.expr("concat(CAST(s_nationkey*5-60 AS STRING), '.', "
                "lpad(CAST((s_suppkey%10)*4 AS STRING),2,'0'), ',', "
                "CAST(s_nationkey*10-120 AS STRING), '.50')").alias("geo_location"),
         F.col("n_name").alias("country"),
         F.col("r_name").alias("region"),
         F.expr("concat('City_', CAST(s_nationkey AS STRING), '_', "
-               "CAST(s_suppkey%10 AS STRING))").alias("city"),
+               "CAST(s_suppkey%10 AS STRING))").alias("city"))
+    # Dealt out by the key of the join that follows, which then moves them no second time.
+    items = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate") \
+        .repartition("l_orderkey")
+    rows = items.join(od, F.col("l_orderkey") == F.col("o_orderkey")) \
+        .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    return _finish(rows.select(
+        "geo_location", "country", "region", "city",
         F.expr("concat('u', CAST(o_custkey AS STRING))").alias("usr"),
         F.expr("concat('PXD', lpad(CAST(l_partkey AS STRING),6,'0'))").alias("accession"),
         F.expr("concat('f', CAST(l_partkey%500 AS STRING), '_v1.', "

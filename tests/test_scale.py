@@ -1,10 +1,13 @@
 """Cases of larger tables on literal rows: single classes, shared roll-ups, all trusted documents."""
 
+import math
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from logtide.llm import quality
-from logtide.operators import learned
+from logtide.operators import learned, users, volume
 
 
 @pytest.mark.parametrize("bot", [False, True])
@@ -46,6 +49,49 @@ def test_log_ratios_count_all_documents(spark):
         for b in r["g"]:
             raw[b] += 1
             t[b] += r["doc_id"] in (1, 2, 4)
-    import math
     expected = [math.log((x + 1) / (y * sum(t) / sum(raw) + 1)) for x, y in zip(t, raw)]
     assert found["llr"] == pytest.approx(expected)
+
+
+HOUR = datetime(2024, 1, 1, 10)
+ROWS = [{"ts": HOUR, "usr": "u1"}, {"ts": HOUR, "usr": "u1", "filename": None, "accession": "P2"},
+        {"ts": HOUR.replace(hour=11), "usr": None}, {"ts": HOUR.replace(year=2023), "usr": "u2", "accession": None},
+        {"ts": None, "usr": "u3", "filename": "f2.raw"}, {"ts": HOUR.replace(year=1980), "usr": "u4"},
+        {"ts": HOUR, "usr": "u1"}, {"ts": HOUR, "usr": "u5", "geo_location": None},
+        {"ts": HOUR, "usr": None, "accession": None, "geo_location": "3.0,4.0", "method": None}]
+
+
+def expands(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Expand")
+
+
+def test_base_statistics_count_each_column_by_itself(make_log):
+    """No event is repeated for several distinct counts; nulls and years before the first count as before."""
+    found = volume.base_stats(make_log(ROWS))
+    assert expands(found) == 0
+    rows = {r["geo_location"]: r.asDict() for r in found.collect()}
+    names = ("unique_users", "total_downloads", "unique_projects", "active_hours", "years_active", "first_year", "last_year")
+    assert {k: tuple(r[n] for n in names) for k, r in rows.items()} == {
+        "1.0,2.0": (2, 5, 2, 3, 2, 2023, 2024), "3.0,4.0": (0, 1, 0, 1, 1, 2024, 2024)}
+    assert rows["3.0,4.0"]["downloads_per_user"] is None
+
+
+def test_authenticity_counts_files_and_days_by_themselves(make_log):
+    """Users u1 (twice f1, one day), u2, u3 (no time: no day) and u4."""
+    found = users.user_authenticity(make_log(ROWS))
+    assert expands(found) == 0
+    row = found.collect()[0]
+    assert (row["avg_active_days_per_user"], row["avg_files_per_user"]) == (3 / 4, 1.0)
+    assert row["user_homogeneity_score"] == pytest.approx(1.25 / 0.5)
+
+
+def test_hours_come_from_the_users_of_each_hour(make_log):
+    views = make_log(ROWS).stored()
+    plain = sorted(tuple(r) for r in make_log(ROWS).hour.collect())
+    views.hour_users
+    assert sorted(tuple(r) for r in views.hour.collect()) == plain
+
+
+def test_protocols_without_a_method(make_log):
+    row = volume.protocol_mix(make_log(ROWS)).where("geo_location = '3.0,4.0'").first()
+    assert (row["http_ratio"], row["ftp_ratio"], row["protocol_diversity"]) == (0.0, 0.0, 0)
