@@ -32,6 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus; those that keep no word are left out."""
     done = linededup.dedup_lines(docs.select(*COLUMNS))
+    # The text leaves a generator, so that it is joined from its lines once and not again for the filter and the length.
+    done = done.withColumn("text", F.explode_outer(F.array("text")))
     return done.where(linededup.has_word(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")) \
         .select(*COLUMNS)
 

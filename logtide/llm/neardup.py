@@ -10,7 +10,7 @@
    hub on full shingle sets. That is linear in the list, and a group of near copies meets at its original.
 5. What hubs leave open: two members of one hub's lists in different components can only be linked if
    they share shingles that the hub lacks, or if both are nearly contained in it. Pairs are joined on
-   those shingles, and the exact overlap is a condition of the join, so only true links come out.
+   the rarest of those shingles, as many as a link needs, and kept if their exact overlap suffices.
 
 At a similarity of exactly 0.75 two signatures agree in fewer than MATCHES = 32 of 64 places with a
 probability of about 2e-6; above 0.8 it is under 1e-9. Shingles and classes are identified by 64- and 128-bit hashes.
@@ -137,21 +137,38 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def leftovers(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one hub's members in different components that can still be linked."""
+    """Pairs (a, b) of one hub's members in different components that can still be linked.
+
+    A pair that fits shares at least 3/4 n - inside spans outside the hub, for the n and inside of either member, as
+    the other has at least 3/4 of its shingles. So two such members meet in the first spans of each, all but that
+    many less one, rarest first. Members meet by narrow rows, and their spans are joined to the pairs met.
+    """
     wide = rows.select("hub", "node", "n", "inside", "root", "rest")
     entry = F.explode("rest").alias("span")
     spans = wide.select("hub", "root", entry).groupBy("hub", "span").agg(
-        F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("hub", "span")
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("c")).where("_lo <> _hi") \
+        .select("hub", "span", "c")
     posted = wide.select("hub", "node", entry).join(spans, ["hub", "span"])
-    kept = wide.join(posted.groupBy("hub", "node").agg(F.collect_set("span").alias("common")), ["hub", "node"]) \
-        .select("hub", "node", "n", "inside", "root", "common")
-    x = kept.select("hub", F.explode("common").alias("span"), *[F.col(c).alias(f"x_{c}") for c in kept.columns[1:]])
-    y = kept.select("hub", F.explode("common").alias("span"), *[F.col(c).alias(f"y_{c}") for c in kept.columns[1:]])
-    shared = F.array_intersect("x_common", "y_common")
+    common = posted.groupBy("hub", "node").agg(F.sort_array(F.collect_set(F.struct("c", "span"))).alias("common"))
+    kept = materialise(wide.drop("rest").join(common, ["hub", "node"]).withColumn("common", F.col("common.span")), "kept")
+    least = F.greatest(F.expr("int((3 * n + 3) div 4 - inside)"), F.lit(1))
+    met = kept.withColumn("m", F.size("common")).where(F.col("m") >= least) \
+        .select("hub", F.explode(F.slice("common", F.lit(1), F.col("m") - least + 1)).alias("span"),
+                "node", "n", "inside", "root", "m")
+    x = met.select("hub", "span", *[F.col(c).alias(f"x_{c}") for c in met.columns[2:]])
+    y = met.select("hub", "span", *[F.col(c).alias(f"y_{c}") for c in met.columns[2:]])
+
+    def enough(shared: Column) -> Column:
+        return 7 * (F.least("x_inside", "y_inside") + shared) >= 3 * (F.col("x_n") + F.col("y_n"))
+
     fits = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) \
-        & (4 * F.least("x_n", "y_n") >= 3 * F.greatest("x_n", "y_n")) \
-        & (7 * (F.least("x_inside", "y_inside") + F.size(shared)) >= 3 * (F.col("x_n") + F.col("y_n")))
-    outside = x.join(y, (x.hub == y.hub) & (x.span == y.span) & fits) \
+        & (4 * F.least("x_n", "y_n") >= 3 * F.greatest("x_n", "y_n")) & enough(F.least("x_m", "y_m"))
+    pairs = x.join(y, (x.hub == y.hub) & (x.span == y.span) & fits) \
+        .select(x.hub, "x_node", "y_node", "x_n", "y_n", "x_inside", "y_inside").distinct()
+    own = kept.select("hub", F.col("node").alias("x_node"), F.col("common").alias("x_common"))
+    other = kept.select("hub", F.col("node").alias("y_node"), F.col("common").alias("y_common"))
+    outside = pairs.join(own, ["hub", "x_node"]).join(other, ["hub", "y_node"]) \
+        .where(enough(F.size(F.array_intersect("x_common", "y_common")))) \
         .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
     near = rows.where(7 * F.col("inside") - 3 * F.col("n") >= 3 * F.col("least")) \
         .select("hub", "node", "n", "inside", "root")

@@ -1,12 +1,14 @@
 """Cases of larger tables on literal rows: single classes, shared roll-ups, all trusted documents."""
 
 import math
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from logtide.llm import quality
+import corpus_pipeline
+from logtide.llm import neardup, quality
 from logtide.operators import learned, users, volume
 
 
@@ -95,3 +97,38 @@ def test_hours_come_from_the_users_of_each_hour(make_log):
 def test_protocols_without_a_method(make_log):
     row = volume.protocol_mix(make_log(ROWS)).where("geo_location = '3.0,4.0'").first()
     assert (row["http_ratio"], row["ftp_ratio"], row["protocol_diversity"]) == (0.0, 0.0, 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leftovers_meet_by_narrow_rows(spark):
+    """The pairs of a brute-force count, from rows that do not carry a member's spans along with each of them."""
+    rng = random.Random(7)
+    rows = []
+    for hub in (1, 2):
+        for node in range(40):
+            inside, rest = rng.randint(10, 60), sorted(rng.sample(range(25), rng.randint(2, 22)))
+            rows.append((hub, hub * 100 + node, inside + len(rest), inside, rng.randint(0, 30), rest, 1000))
+    frame = spark.createDataFrame(rows, "hub long, node long, n long, inside long, root long, rest array<long>, least long")
+    expected = set()
+    for x in rows:
+        for y in rows:
+            shared = len(set(x[5]) & set(y[5]))
+            if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and shared and 4 * min(x[2], y[2]) >= 3 * max(x[2], y[2]) \
+                    and 7 * (min(x[3], y[3]) + shared) >= 3 * (x[2] + y[2]):
+                expected.add((x[1], y[1]))
+    found = neardup.leftovers(frame)
+    assert {tuple(r) for r in found.collect()} == expected and len(expected) > 50
+    joins = [line for line in plan_of(found).splitlines() if "Join Inner" in line]
+    assert not any("array_intersect" in line and "span#" in line for line in joins)
+
+
+def test_line_dedup_joins_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "one line here\nother", "en", "s", 19), (2, "one line here", "en", "s", 13),
+                                  (3, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.line_dedup(spark, docs, "")
+    assert plan_of(found).count("array_join(") == 1
+    assert [tuple(r) for r in found.select("doc_id", "text", "n_chars").orderBy("doc_id").collect()] \
+        == [(1, "one line here\nother", 19)]
