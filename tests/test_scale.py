@@ -103,6 +103,30 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_trusted_ids_are_looked_up_in_blocks(spark):
+    """Ids that lie together share a row, so the texts need no shuffle; far, negative, repeated and null ids keep theirs."""
+    ids = [*range(3000), -1, -1024, -1025, 2 ** 62, None, 5, 5]
+    halves = quality.trusted_halves(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    blocks = quality.id_blocks(halves)
+    assert blocks.count() == 6
+    asked = [*range(0, 4000, 7), 2999, 3000, -1, -2, -1024, -1025, -1026, 2 ** 62, 2 ** 62 + 1, None, 7]
+    found = quality.with_half(spark.createDataFrame([(i, "t") for i in asked], "doc_id long, text string"), blocks)
+    expected = {r["_id"]: r["_half"] for r in halves.collect()}
+    assert sorted(map(str, found.select("doc_id", "_half").collect())) == sorted(
+        f"Row(doc_id={i}, _half={expected.get(i)})" for i in asked)
+
+
+def test_texts_are_read_for_their_grams_once(spark):
+    texts = ["", None, " \t", "Ab ab AB", "ÄÖ äö Éa ﬁ İ ı K", "x\x0by  z\n\nZ9 #a##", "^ ^^ A1-b__C"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    both = quality._counted(docs).select(quality.grams(F.col("text")).alias("a"),
+                                         quality.grams(F.col("text"), tokens=F.col("_words")).alias("b"))
+    assert all(r["a"] == r["b"] for r in both.collect())
+    judged = quality.judge(docs, docs.where("doc_id > 2").select("doc_id"))
+    assert "split" not in plan_of(judged.where("kept")) and judged.columns[:3] == ["doc_id", "text", "n_words"]
+    assert "text" not in quality.judge(docs, docs.select("doc_id"), text=False).columns
+
+
 def test_leftovers_meet_by_narrow_rows(spark):
     """The pairs of a brute-force count, from rows that do not carry a member's spans along with each of them."""
     rng = random.Random(7)
