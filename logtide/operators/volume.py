@@ -82,15 +82,15 @@ PROJECT_DEFAULTS = {"top_project_concentration": 0.0, "top3_project_concentratio
 
 def project_concentration(views: LogViews) -> DataFrame:
     """Shares of the largest and the three largest projects, and the sum of squared shares."""
-    totals = views.project.groupBy(LOC).agg(
-        F.sum("n").alias("t"), F.max("n").alias("top1"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("sq"))
-    # Only three rows per location leave each map task (group limit on the rank filter).
-    top = (views.project
-           .withColumn("r", F.row_number().over(
-               Window.partitionBy(LOC).orderBy(F.desc("n"), "accession")))
-           .filter("r <= 3").groupBy(LOC).agg(F.sum("n").alias("top3")))
-    return totals.join(top, LOC).select(
+    # Projects with the same count are one row, so no project is ranked by itself.
+    counts = views.project.groupBy(LOC, "n").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(LOC).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = F.lit(3) - (F.sum("c").over(w) - F.col("c"))
+    totals = counts.withColumn("first", F.greatest(F.least(room, F.col("c")), F.lit(0))).groupBy(LOC).agg(
+        F.sum(F.col("n") * F.col("c")).alias("t"), F.max("n").alias("top1"),
+        F.sum(F.col("n").cast("double") * F.col("n") * F.col("c")).alias("sq"),
+        F.sum(F.col("n") * F.col("first")).alias("top3"))
+    return totals.select(
         LOC,
         ratio(F.col("top1"), F.col("t")).alias("top_project_concentration"),
         ratio(F.col("top3"), F.col("t")).alias("top3_project_concentration"),

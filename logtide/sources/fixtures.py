@@ -53,8 +53,8 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN l_orderkey%10=0 THEN 'fasp-aspera' "
                "WHEN l_orderkey%10=1 THEN 'gridftp-globus' "
                "WHEN l_orderkey%10<5 THEN 'ftp' ELSE 'http' END").alias("method"),
-        F.expr("l_shipdate + make_dt_interval(0,0,0,"
-               "(l_orderkey*7919+l_linenumber*104729)%86400)").alias("ts"),
+        F.expr("timestamp_micros(unix_micros(CAST(l_shipdate AS TIMESTAMP)) + 1000000L * "
+               "((l_orderkey*7919+l_linenumber*104729)%86400))").alias("ts"),
     ))
 
 

@@ -156,3 +156,15 @@ def test_line_dedup_joins_each_text_once(spark):
     assert plan_of(found).count("array_join(") == 1
     assert [tuple(r) for r in found.select("doc_id", "text", "n_chars").orderBy("doc_id").collect()] \
         == [(1, "one line here\nother", 19)]
+
+
+def test_projects_are_not_ranked_one_by_one(spark):
+    """The three largest shares from counts of equal projects, ties across the third place included."""
+    class Views:
+        project = spark.createDataFrame(
+            [("a", f"p{i}", n) for i, n in enumerate([5, 5, 4, 4, 4, 1])] + [("b", "p", 2), ("b", "q", 1)],
+            "geo_location string, accession string, n long")
+    found = volume.project_concentration(Views)
+    assert "accession" not in plan_of(found).split("LogicalRDD")[0].split("LocalRelation")[0]
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {
+        "a": (5 / 23, 14 / 23, pytest.approx(99 / 529)), "b": (2 / 3, 1.0, pytest.approx(5 / 9))}
