@@ -23,6 +23,8 @@ from logtide.llm.text import SPACES, bind, words
 from logtide.session import materialise
 
 MIN_WORDS = 8
+#: The spot map has 2 ** MAP_BITS words of 64 bits, 1 MB.
+MAP_BITS = 17
 
 
 def has_word(line: Column) -> Column:
@@ -39,22 +41,34 @@ def two_hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def halves(tokens: Column) -> Column:
-    """Hashes of a line's halves, for its own number of words and for one less (longer side of an insertion)."""
-    def of(size: Column, kind: int) -> list[Column]:
-        cut = F.floor(size / 2).cast("int")
-        rest = (size - cut).cast("int")
-        return [F.xxhash64(F.lit(2 * kind), size, F.slice(tokens, 1, cut)),
-                F.xxhash64(F.lit(2 * kind + 1), size, F.slice(tokens, F.size(tokens) - rest + 1, rest))]
+def spaced(line: Column) -> Column:
+    """The words of a line with one space between them; most lines stand like that already and are not split."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in SPACES.replace(" ", ""):
+        odd = odd | F.contains(line, F.lit(space))
+    return F.when(odd, F.array_join(words(line), " ")).otherwise(line)
 
-    return F.array(*of(F.size(tokens), 0), *of(F.size(tokens) - 1, 0))
+
+def word_count(text: Column) -> Column:
+    """Words of a ``spaced`` line that has any."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
+def halves(text: Column, size: Column) -> Column:
+    """Hashes of the halves of a ``spaced`` line, for its own number of words and for one less (longer side of an insertion)."""
+    def of(n: Column) -> list[Column]:
+        cut = F.floor(n / 2).cast("int")
+        return [F.xxhash64(F.lit(0), n, F.call_function("substring_index", text, F.lit(" "), cut)),
+                F.xxhash64(F.lit(1), n, F.call_function("substring_index", text, F.lit(" "), cut - n))]
+
+    return F.array(*of(size), *of(size - 1))
 
 
 def first_places(lines: DataFrame, min_words: int) -> DataFrame:
     """Distinct lines (h1, h2) with their first place (doc_id, at) and their half hashes."""
-    tokens = words(F.col("line"))
-    fuzzy = F.when(F.size("_w") >= min_words, halves(F.col("_w")))
-    rows = lines.where(has_word(F.col("line"))).withColumn("_w", tokens) \
+    fuzzy = F.when(F.col("_n") >= min_words, halves(F.col("_s"), F.col("_n")))
+    text = spaced(F.col("line"))
+    rows = lines.where(text != "").withColumn("_s", text).withColumn("_n", word_count(F.col("_s"))) \
         .select("doc_id", "at", *two_hashes(F.col("line")), fuzzy.alias("halves"))
     return rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("place"),
                                         F.max("halves").alias("halves"))
@@ -64,25 +78,65 @@ def with_mates(firsts: DataFrame) -> DataFrame:
     """First places (doc_id, at) of the distinct lines that share a half with another line."""
     posted = firsts.where("halves is not null").select(
         "place", F.explode(F.array_distinct("halves")).alias("half"))
-    met = posted.groupBy("half").agg(F.min("place").alias("lo"), F.max("place").alias("hi")) \
-        .where("lo <> hi").select("half")
+    met = posted.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
     return posted.join(met, "half").select("place.doc_id", "place.at").distinct()
 
 
-def without(tokens: Column, i: Column) -> Column:
-    return F.concat(F.slice(tokens, F.lit(1), i), F.slice(tokens, i + 2, F.size(tokens)))
+def spot_word() -> Column:
+    """Word of the spot map that a place (doc_id, at) falls into."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "at"), 64 - MAP_BITS).cast("int")
+
+
+def spot_bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64("doc_id", "at").bitwiseAND(63).cast("int"))
+
+
+def spot_map(spots: DataFrame) -> DataFrame:
+    """One row with a bitmap (array of longs) of the hashed places, of the same size for every corpus.
+
+    It keeps most lines that are not wanted out of the shuffle; those it lets through by chance go in the join behind it.
+    """
+    filled = spots.select(spot_word().alias("word"), spot_bit().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    dense = spots.sparkSession.range(1 << MAP_BITS).select(F.col("id").cast("int").alias("word")).join(filled, "word", "left") \
+        .select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("cells")).select(F.col("cells.bits").alias("map"))
+
+
+def running_xor(values: Column) -> Column:
+    """Every value of an array of longs combined by exclusive or with all before it, in rounds of doubled distance."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values) - 1)) - 1)
+
+    def further(acc: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        moved = F.concat(F.array_repeat(F.lit(0).cast("long"), step), F.slice(acc, F.lit(1), F.size(acc) - step))
+        return F.zip_with(acc, F.slice(moved, F.lit(1), F.size(acc)), lambda a, b: a.bitwiseXOR(b))
+
+    return F.aggregate(rounds, values, further)
+
+
+def total_xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(place, key, pos, size): one row per deleted word, and one (pos -1) for the whole line; size is what is left."""
-    def of(h: Column) -> Column:
-        cuts = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.struct(
-            F.xxhash64(without(h, i)).alias("key"), i.alias("pos"), (F.size(h) - 1).alias("size")))
-        whole = F.array(F.struct(F.xxhash64(h).alias("key"), F.lit(-1).alias("pos"), F.size(h).alias("size")))
-        return F.concat(cuts, whole)
+    """(place, key, pos, size): one row per deleted word, and one (pos -1) for the whole line; size is what is left.
+
+    The key of a word sequence is the exclusive or of the hashes of its words with their positions. From the variant
+    without word i - 1 to the one without word i only word i - 1 comes back and word i goes, so all variants of a
+    line are one running combination and no word is hashed per variant.
+    """
+    def of(own: Column) -> Column:
+        return bind(F.transform("tokens", lambda w, i: F.xxhash64(w, i - 1)), lambda left: bind(F.concat(
+            F.array(total_xor(left).bitwiseXOR(F.get(left, F.lit(0)))),
+            F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), F.slice(left, F.lit(2), F.size(left)),
+                       lambda a, b: a.bitwiseXOR(b))),
+            lambda steps: F.concat(
+                F.transform(running_xor(steps), lambda key, i: F.struct(
+                    key.alias("key"), i.alias("pos"), (F.size(own) - 1).alias("size"))),
+                F.array(F.struct(total_xor(own).alias("key"), F.lit(-1).alias("pos"), F.size(own).alias("size"))))))
 
-    hashes = F.transform("tokens", lambda w: F.xxhash64(w))
-    return lines.select("place", F.explode(bind(hashes, of)).alias("v")).select("place", "v.key", "v.pos", "v.size")
+    own = F.transform("tokens", lambda w, i: F.xxhash64(w, i))
+    return lines.select("place", F.explode(bind(own, of)).alias("v")).select("place", "v.key", "v.pos", "v.size")
 
 
 def yields(rows: DataFrame) -> DataFrame:
@@ -111,11 +165,11 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc_id, at) of first places whose line yields to an earlier near-equal line."""
-    spots = with_mates(firsts).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("spots"))
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(spots, "doc_id") \
-        .withColumn("lines", F.split("text", "\\n", -1)) \
-        .select("doc_id", "lines", F.explode("spots").alias("at")) \
-        .select(F.struct("doc_id", "at").alias("place"), words(F.get("lines", F.col("at"))).alias("tokens"))
+    spots = materialise(with_mates(firsts), "spots")
+    likely = places(docs).withColumn("_map", materialise(spot_map(spots), "spot-map").scalar()).where(
+        F.get("_map", spot_word()).bitwiseAND(spot_bit()) != 0).drop("_map")
+    found = likely.join(spots, ["doc_id", "at"]) \
+        .select(F.struct("doc_id", "at").alias("place"), words(F.col("line")).alias("tokens"))
     lines = materialise(found.where(F.size("tokens") > 0).dropDuplicates(["place"]), "mates")
     pairs = yields(variants(lines))
     old = lines.select(F.col("place").alias("to"), F.col("tokens").alias("old"))
@@ -124,14 +178,12 @@ def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and ``kept``: array of (at, h1) of the lines that stay, in order; line-less documents are absent."""
+    """doc_id and ``kept``: array of (at, h1) of the lines with a word that stay; documents without one are absent."""
     lines = places(docs)
     firsts = materialise(first_places(lines, min_words), "first-lines")
     gone = near_copies(docs, firsts)
     worded = firsts.select("h1", "place.doc_id", "place.at").join(gone, ["doc_id", "at"], "left_anti")
-    blank = lines.where(~has_word(F.col("line"))).select(F.xxhash64("line").alias("h1"), "doc_id", "at")
-    return worded.unionByName(blank.distinct()).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("at", "h1"))).alias("kept"))
+    return worded.groupBy("doc_id").agg(F.collect_list(F.struct("at", "h1")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -145,10 +197,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = kept_lines(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
     lines = F.split("text", "\\n", -1)
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_lines", lines)
-    stay = F.filter(F.col("_kept"), lambda k: F.xxhash64(F.get(F.col("_lines"), k["at"])) == k["h1"])
-    return joined.withColumn("_stay", F.coalesce(stay, F.array().cast("array<struct<at:int,h1:bigint>>"))) \
+    worded = F.transform(F.filter(F.col("_kept"), lambda k: F.xxhash64(F.get(F.col("_lines"), k["at"])) == k["h1"]),
+                         lambda k: k["at"])
+    blank = F.filter(F.transform("_lines", lambda line, i: F.when(~has_word(line), i)), lambda i: i.isNotNull())
+    empty = F.array().cast("array<int>")
+    return joined.withColumn("_stay", F.sort_array(F.concat(F.coalesce(worded, empty), F.coalesce(blank, empty)))) \
         .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))) \
         .withColumn("n_removed", F.col("n_lines") - F.when(F.col("text").isNull(), 0).otherwise(F.size("_stay"))) \
         .withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(
-            F.transform("_stay", lambda k: F.get(F.col("_lines"), k["at"])), "\n"))) \
+            F.transform("_stay", lambda at: F.get(F.col("_lines"), at)), "\n"))) \
         .drop("_id", "_kept", "_lines", "_stay")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logtide.llm import neardup, quality
+from logtide.llm import linededup, neardup, quality
 from logtide.operators import learned, users, volume
 
 
@@ -158,6 +158,50 @@ def test_line_dedup_joins_each_text_once(spark):
         == [(1, "one line here\nother", 19)]
 
 
+def test_line_dedup_shuffles_no_text_for_its_mates(spark):
+    """Texts meet the kept lines in one join; lines with a mate reach their shuffle through the spot map."""
+    docs = spark.createDataFrame([(1, "one line here\n \nother"), (2, None)], "doc_id long, text string")
+    firsts = linededup.first_places(linededup.places(docs), 8)
+    spots = spark.createDataFrame([(1, 0)], "doc_id long, at int")
+    cells = linededup.spot_map(spots).first()["map"]
+    assert len(cells) == 1 << linededup.MAP_BITS and sum(bin(x & (2 ** 64 - 1)).count("1") for x in cells) == 1
+    assert linededup.near_copies(docs, firsts).count() == 0
+    done = linededup.dedup_lines(docs)
+    assert "posexplode" not in plan_of(done)
+    assert [tuple(r) for r in done.select("text", "n_lines", "n_removed").orderBy("doc_id").collect()] \
+        == [("one line here\n \nother", 3, 0), (None, 0, 0)]
+
+
+def test_variants_share_keys_without_hashing_words_again(spark):
+    """Equal keys for equal word sequences only, lines of 1, 2 and more words and repeated words included."""
+    lines = ["a", "a b", "b a", "a a", "a a a", "a b c d e f g h", "a b c d f g h", "a b c d X f g h", "a b c d e f g h i",
+             "b b b b b b b b b", "b b b b b b b b"]
+    frame = spark.createDataFrame([(i, x.split()) for i, x in enumerate(lines)], "place long, tokens array<string>")
+    rows = linededup.variants(frame).collect()
+    left, keys = {}, {}
+    for r in rows:
+        w = lines[r["place"]].split()
+        what = tuple(w if r["pos"] < 0 else w[:r["pos"]] + w[r["pos"] + 1:])
+        assert r["size"] == len(what)
+        left.setdefault(what, set()).add(r["key"])
+        keys.setdefault((r["key"], r["size"]), set()).add(what)
+    assert all(len(x) == 1 for x in left.values()) and all(len(x) == 1 for x in keys.values())
+    assert len(rows) == sum(len(x.split()) + 1 for x in lines)
+    assert "xxhash64(concat(" not in plan_of(linededup.variants(frame))
+
+
+def test_halves_of_spaced_lines(spark):
+    texts = ["a b c d e f g h", " a b  c d e f\tg h ", "a b c d e f g h i", "z b c d e f g h i", "\x0ba\r", "   ", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, line string") \
+        .withColumn("s", linededup.spaced(F.col("line"))).withColumn("n", linededup.word_count(F.col("s"))) \
+        .withColumn("halves", linededup.halves(F.col("s"), F.col("n"))).orderBy("i").collect()
+    assert [r["s"] for r in rows] == [" ".join(t.split()) for t in texts]
+    assert [r["n"] for r in rows[:5]] == [8, 8, 9, 9, 1]
+    assert rows[0]["halves"] == rows[1]["halves"]
+    assert set(rows[0]["halves"]) & set(rows[2]["halves"]) and set(rows[2]["halves"]) & set(rows[3]["halves"])
+    assert not set(rows[0]["halves"][:2]) & set(rows[3]["halves"][:2])
+
+
 def test_projects_are_not_ranked_one_by_one(spark):
     """The three largest shares from counts of equal projects, ties across the third place included."""
     class Views:
