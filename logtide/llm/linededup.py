@@ -23,7 +23,7 @@ from logtide.llm.text import SPACES, bind, words
 from logtide.session import materialise
 
 MIN_WORDS = 8
-#: The spot map has 2 ** MAP_BITS words of 64 bits, 1 MB.
+#: A bitmap of hashes has 2 ** MAP_BITS words of 64 bits, 1 MB.
 MAP_BITS = 17
 
 
@@ -74,32 +74,39 @@ def first_places(lines: DataFrame, min_words: int) -> DataFrame:
                                         F.max("halves").alias("halves"))
 
 
-def with_mates(firsts: DataFrame) -> DataFrame:
-    """First places (doc_id, at) of the distinct lines that share a half with another line."""
-    posted = firsts.where("halves is not null").select(
-        "place", F.explode(F.array_distinct("halves")).alias("half"))
-    met = posted.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
-    return posted.join(met, "half").select("place.doc_id", "place.at").distinct()
+def map_word(key: Column) -> Column:
+    """Word of a bitmap that a 64-bit hash falls into."""
+    return F.shiftrightunsigned(key, 64 - MAP_BITS).cast("int")
 
 
-def spot_word() -> Column:
-    """Word of the spot map that a place (doc_id, at) falls into."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", "at"), 64 - MAP_BITS).cast("int")
+def map_bit(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(63).cast("int"))
 
 
-def spot_bit() -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64("doc_id", "at").bitwiseAND(63).cast("int"))
+def bitmap(rows: DataFrame, key: Column) -> DataFrame:
+    """One row with a bitmap (array of longs) of the 64-bit hashes ``key`` of all rows, of the same size for every corpus."""
+    filled = rows.select(map_word(key).alias("word"), map_bit(key).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    dense = rows.sparkSession.range(1 << MAP_BITS).select(F.col("id").cast("int").alias("word")).join(filled, "word", "left") \
+        .select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("cells")).select(F.col("cells.bits").alias("map"))
 
 
-def spot_map(spots: DataFrame) -> DataFrame:
-    """One row with a bitmap (array of longs) of the hashed places, of the same size for every corpus.
+def likely(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash is in the bitmap of ``wanted``, which has the columns of ``key`` too.
 
-    It keeps most lines that are not wanted out of the shuffle; those it lets through by chance go in the join behind it.
+    It keeps most rows that find no partner out of the shuffle of the exact join that must follow; a fuller map only
+    lets more of them through.
     """
-    filled = spots.select(spot_word().alias("word"), spot_bit().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    dense = spots.sparkSession.range(1 << MAP_BITS).select(F.col("id").cast("int").alias("word")).join(filled, "word", "left") \
-        .select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return dense.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("cells")).select(F.col("cells.bits").alias("map"))
+    found = materialise(bitmap(wanted, key), "bitmap").scalar()
+    return rows.withColumn("_map", found).where(F.get("_map", map_word(key)).bitwiseAND(map_bit(key)) != 0).drop("_map")
+
+
+def with_mates(firsts: DataFrame) -> DataFrame:
+    """First places (doc_id, at) of the distinct lines that share a half with another line."""
+    posted = firsts.where("halves is not null").select(
+        "place", F.explode(F.array_distinct("halves")).alias("half"))
+    met = materialise(posted.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half"), "halves")
+    return likely(posted, F.col("half"), met).join(met, "half").select("place.doc_id", "place.at").distinct()
 
 
 def running_xor(values: Column) -> Column:
@@ -166,9 +173,7 @@ def one_edit(a: Column, b: Column) -> Column:
 def near_copies(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc_id, at) of first places whose line yields to an earlier near-equal line."""
     spots = materialise(with_mates(firsts), "spots")
-    likely = places(docs).withColumn("_map", materialise(spot_map(spots), "spot-map").scalar()).where(
-        F.get("_map", spot_word()).bitwiseAND(spot_bit()) != 0).drop("_map")
-    found = likely.join(spots, ["doc_id", "at"]) \
+    found = likely(places(docs), F.xxhash64("doc_id", "at"), spots).join(spots, ["doc_id", "at"]) \
         .select(F.struct("doc_id", "at").alias("place"), words(F.col("line")).alias("tokens"))
     lines = materialise(found.where(F.size("tokens") > 0).dropDuplicates(["place"]), "mates")
     pairs = yields(variants(lines))

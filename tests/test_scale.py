@@ -159,12 +159,15 @@ def test_line_dedup_joins_each_text_once(spark):
 
 
 def test_line_dedup_shuffles_no_text_for_its_mates(spark):
-    """Texts meet the kept lines in one join; lines with a mate reach their shuffle through the spot map."""
+    """Texts meet the kept lines in one join; lines with a mate reach their shuffle through a bitmap."""
     docs = spark.createDataFrame([(1, "one line here\n \nother"), (2, None)], "doc_id long, text string")
     firsts = linededup.first_places(linededup.places(docs), 8)
     spots = spark.createDataFrame([(1, 0)], "doc_id long, at int")
-    cells = linededup.spot_map(spots).first()["map"]
+    cells = linededup.bitmap(spots, F.xxhash64("doc_id", "at")).first()["map"]
     assert len(cells) == 1 << linededup.MAP_BITS and sum(bin(x & (2 ** 64 - 1)).count("1") for x in cells) == 1
+    wanted = spark.range(0, 400, 2).select(F.xxhash64("id").alias("h"))
+    passed = linededup.likely(spark.range(400).select("id", F.xxhash64("id").alias("h")), F.col("h"), wanted)
+    assert {r["id"] for r in passed.collect()} == set(range(0, 400, 2))
     assert linededup.near_copies(docs, firsts).count() == 0
     done = linededup.dedup_lines(docs)
     assert "posexplode" not in plan_of(done)
