@@ -8,9 +8,9 @@
    lists, such as those of a passage that very many documents hold, are skipped.
 4. Each list names one hub, the class whose values are the most common. Every member is compared with the
    hub on full shingle sets. That is linear in the list, and a group of near copies meets at its original.
-5. What hubs leave open: two members of one hub's lists in different components can only be linked if
-   they share shingles that the hub lacks, or if both are nearly contained in it. Pairs are joined on
-   the rarest of those shingles, as many as a link needs, and kept if their exact overlap suffices.
+5. What hubs leave open: two members of one hub's lists in different components can only be linked if they
+   differ from the hub in the same shingles (that it lacks, or that they lack), and how many of them they must share
+   follows from their sizes. Members meet in the rarest of those shingles, at places that leave enough behind them.
 
 At a similarity of exactly 0.75 two signatures agree in fewer than MATCHES = 32 of 64 places with a
 probability of about 2e-6; above 0.8 it is under 1e-9. Shingles and classes are identified by 64- and 128-bit hashes.
@@ -117,27 +117,65 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = materialise(shingle_sets(docs, nodes.join(member, "node")), "sets")
     hub_sets = sets.select(F.col("node").alias("hub"), F.col("spans").alias("hub_spans"))
     both = pairs.join(sets, "node").join(hub_sets, "hub")
-    rest = F.array_except("spans", "hub_spans")
-    measured = both.select("hub", "node", "n", F.size("hub_spans").cast("long").alias("hub_n"), rest.alias("rest")) \
-        .withColumn("inside", F.col("n") - F.size("rest"))
-    measured = materialise(measured, "measured")
+    measured = materialise(both.select("hub", "node", "n", F.size("hub_spans").cast("long").alias("hub_n"),
+                                       F.size(F.array_intersect("spans", "hub_spans")).alias("inside")), "measured")
     stars = measured.where(linked(F.col("inside"), F.col("n"), F.col("hub_n"))) \
         .select(F.col("hub").alias("a"), F.col("node").alias("b"))
     root = components(stars)
     placed = measured.join(root, "node", "left") \
         .withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("hub").agg(F.min("n").alias("least"), F.min("root").alias("_lo"),
-                                      F.max("root").alias("_hi")).where("_lo <> _hi").select("hub", "least")
-    open_rows = materialise(placed.join(mixed, "hub"), "open")
-    late = leftovers(open_rows)
-    checked = late.join(sets.withColumnRenamed("node", "a").withColumnRenamed("spans", "x"), "a") \
-        .join(sets.withColumnRenamed("node", "b").withColumnRenamed("spans", "y"), "b") \
-        .where(linked(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
-    return stars.union(checked)
+    mixed = placed.groupBy("hub").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("n").alias("most")) \
+        .where("_lo <> _hi").select("hub", "most")
+    apart = F.concat(F.array_except("spans", "hub_spans"), F.array_except("hub_spans", "spans"))
+    open_rows = materialise(placed.join(mixed, "hub").join(sets, "node").join(hub_sets, "hub")
+                            .select("hub", "node", "n", "root", "most", apart.alias("apart")), "open")
+    return stars.union(open_links(open_rows))
+
+
+def open_links(rows: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) of one hub's members (hub, node, n, root, most, apart) in different components.
+
+    ``apart`` holds the d shingles in which a member and its hub differ, ``most`` the largest n of the hub's members.
+    Two members with o of them in common share (n + m - d - e) / 2 + o shingles, so they are linked if 14 o >= 7 (d + e)
+    - (n + m). The one with the smaller d thus needs 14 o >= 14 d - (n + m), the other 7 o >= 7 d - (n + m), and m is at
+    most 4/3 n. A pair meets in the rarest shingle that both have apart; o is at most what is left from there on.
+    """
+    entry = F.explode("apart").alias("span")
+    spans = rows.select("hub", "root", entry).groupBy("hub", "span").agg(
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("c")).where("_lo <> _hi") \
+        .select("hub", "span", "c")
+    common = rows.select("hub", "node", entry).join(spans, ["hub", "span"]) \
+        .groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "span"))).alias("common"))
+    kept = materialise(rows.withColumn("d", F.size("apart")).drop("apart").join(common, ["hub", "node"])
+                       .withColumn("common", F.col("common.span")), "kept")
+
+    def met(side: str, least: str) -> DataFrame:
+        """Rows of a side in the first places of its members, all but ``least`` and one more."""
+        need = F.greatest(F.expr(f"int(ceil(({least} - n - least(floor(4 * n / 3), most)) / {least.split()[0]}))"), F.lit(1))
+        prefix = kept.withColumn("m", F.size("common")).withColumn("need", need).where("m >= need") \
+            .select("hub", "node", "n", "root", "d", "m", F.posexplode(
+                F.slice("common", F.lit(1), F.col("m") - F.col("need") + 1)).alias("at", "span"))
+        return prefix.select(F.col("hub").alias(f"{side}_hub"), F.col("span").alias(f"{side}_span"),
+                             *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "root", "d")],
+                             (F.col("m") - F.col("at")).alias(f"{side}_left"))
+
+    def enough(shared: Column) -> Column:
+        return 14 * shared >= 7 * (F.col("x_d") + F.col("y_d")) - (F.col("x_n") + F.col("y_n"))
+
+    ordered = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x_node") < F.col("y_node")))
+    pairs = met("x", "14 * d").join(met("y", "7 * d"), (F.col("x_hub") == F.col("y_hub")) & (F.col("x_span") == F.col("y_span"))
+                                    & ordered & (F.col("x_root") != F.col("y_root")) & enough(F.least("x_left", "y_left"))) \
+        .select("x_hub", "x_node", "y_node", "x_n", "y_n", "x_d", "y_d").distinct()
+    own = kept.select(F.col("hub").alias("x_hub"), F.col("node").alias("x_node"), F.col("common").alias("x_common"))
+    other = kept.select(F.col("hub").alias("x_hub"), F.col("node").alias("y_node"), F.col("common").alias("y_common"))
+    return pairs.join(own, ["x_hub", "x_node"]).join(other, ["x_hub", "y_node"]) \
+        .where(enough(F.size(F.array_intersect("x_common", "y_common")))) \
+        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def leftovers(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one hub's members in different components that can still be linked.
+    """Pairs (a, b) of one hub's members in different components that can still be linked, where only the spans outside
+    the hub (``rest``) are known; ``open_links`` compares by those that members lack as well.
 
     A pair that fits shares at least 3/4 n - inside spans outside the hub, for the n and inside of either member, as
     the other has at least 3/4 of its shingles. So two such members meet in the first spans of each, all but that

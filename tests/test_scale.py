@@ -149,6 +149,30 @@ def test_leftovers_meet_by_narrow_rows(spark):
     assert not any("array_intersect" in line and "span#" in line for line in joins)
 
 
+def test_open_links_match_all_pairs(spark):
+    """Members about as far from their hub as a link allows: all linked pairs, and few rows that are not."""
+    rng = random.Random(11)
+    sets, rows = {}, []
+    for hub, size in ((1, 40), (2, 60)):
+        base = [hub * 10_000 + i for i in range(size)]
+        families = [base, *[[x for x in base if rng.random() > 0.15] + [hub * 10_000 + 500 + 40 * f + i for i in range(6)]
+                            for f in range(8)]]
+        for node in range(60):
+            family = rng.choice(families)
+            own = {x for x in family if rng.random() > 0.12} | {hub * 10_000 + 5000 + rng.randrange(400) for _ in range(rng.randint(0, 9))}
+            key = hub * 100 + node
+            sets[key] = own
+            rows.append((hub, key, len(own), key % 37, sorted(own ^ set(base))))
+    most = {hub: max(r[2] for r in rows if r[0] == hub) for hub in (1, 2)}
+    frame = spark.createDataFrame([(*r[:4], most[r[0]], r[4]) for r in rows],
+                                  "hub long, node long, n long, root long, most long, apart array<long>")
+    expected = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[3] != y[3]
+                and set(x[4]) & set(y[4])
+                and 100 * len(sets[x[1]] & sets[y[1]]) >= 75 * len(sets[x[1]] | sets[y[1]])}
+    found = neardup.open_links(frame)
+    assert {tuple(r) for r in found.collect()} == expected and 20 < len(expected) < 1500
+
+
 def test_line_dedup_joins_each_text_once(spark):
     docs = spark.createDataFrame([(1, "one line here\nother", "en", "s", 19), (2, "one line here", "en", "s", 13),
                                   (3, None, "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
