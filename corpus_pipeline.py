@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, language ID, line dedup, near-duplicate removal, packing.
 
-Every stage reads all documents that the one before kept and is written as Parquet before the next. Stages
-1 to 4 return the columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+Every stage reads all documents that the one before kept and is written as Parquet before the next. The tables
+that a stage wrote on its way are deleted once its result is written; the results stay. Stages 1 to 4 return the columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import langid, linededup, neardup, packing, quality
-from logtide.session import materialise
+from logtide.session import materialise, noted_tables, release_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Least mean probability of the predicted language; texts below, and those without a letter, go.
@@ -61,5 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with noted_tables() as own:
+            found = stage(spark, docs, sf_dir)
+        docs = materialise(found, f"pipeline-{name}")
+        release_tables(spark, own)
     return docs

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,17 +56,44 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(session_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The paths of all tables that ``materialise`` writes inside the block, also those of blocks within it."""
+    outer, paths = _written.get(), []
+    token = _written.set(paths)
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+        if outer is not None:
+            outer.extend(paths)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables noted by ``noted_tables``; what was made from them must be written by then."""
+    for path in paths:
+        _delete(spark, path)
+
+
 def release_intermediates(spark: SparkSession) -> None:
     """Delete the intermediate tables of this session; call it once their results are written."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(session_folder(spark))
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(folder, True)
+    _delete(spark, session_folder(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if (noted := _written.get()) is not None:
+        noted.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,11 +3,13 @@
 import math
 import random
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from logtide import session
 from logtide.llm import linededup, neardup, quality
 from logtide.operators import learned, users, volume
 
@@ -239,3 +241,24 @@ def test_projects_are_not_ranked_one_by_one(spark):
     assert not any("Window" in line and "accession" in line for line in plan_of(found).splitlines())
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == {
         "a": (5 / 23, 14 / 23, pytest.approx(99 / 529)), "b": (2 / 3, 1.0, pytest.approx(5 / 9))}
+
+
+def test_pipeline_leaves_only_the_tables_of_its_stages(spark):
+    """What a stage wrote on its way no longer fills the disk of those after it; results of stages stay."""
+    folder = Path(session.session_folder(spark))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left == {f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES} and rows.count() > 0
+
+
+def test_noted_tables_are_those_written_inside(spark):
+    one = spark.range(3)
+    with session.noted_tables() as outer:
+        first = session.materialise(one, "first")
+        with session.noted_tables() as inner:
+            session.materialise(one, "second")
+    session.materialise(one, "third")
+    assert [[p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in found] for found in (outer, inner)] == [["first", "second"], ["second"]]
+    session.release_tables(spark, inner)
+    assert first.count() == 3 and not Path(inner[0]).exists() and Path(outer[0]).exists()
