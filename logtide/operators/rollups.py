@@ -37,11 +37,18 @@ class LogViews:
         self.kept = kept
 
     def stored(self, *columns: str, kept: tuple[str, ...] | None = None) -> LogViews:
-        """Durable views over a log written once (only ``columns``, if given), for several scans."""
+        """Durable views over a log written once (only ``columns``, if given), for several scans.
+
+        Times are written as microseconds, since Parquet files of Spark hold a timestamp in twelve bytes
+        that every scan has to convert.
+        """
         if self.durable:
             return self
         log = self.log.select(*columns) if columns else self.log
-        return LogViews(materialise(log, "log"), self.schema, durable=True, kept=kept)
+        times = [c for c, kind in log.dtypes if kind == "timestamp"]
+        written = materialise(log.withColumns({c: F.unix_micros(c) for c in times}), "log")
+        return LogViews(written.withColumns({c: F.timestamp_micros(c) for c in times}), self.schema,
+                        durable=True, kept=kept)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         wanted = self.durable and (self.kept is None or name in self.kept)

@@ -262,3 +262,12 @@ def test_noted_tables_are_those_written_inside(spark):
     assert [[p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in found] for found in (outer, inner)] == [["first", "second"], ["second"]]
     session.release_tables(spark, inner)
     assert first.count() == 3 and not Path(inner[0]).exists() and Path(outer[0]).exists()
+
+
+def test_a_stored_log_holds_times_as_microseconds(spark, make_log):
+    rows = [{"ts": HOUR.replace(microsecond=123456)}, {"ts": None}, {"ts": datetime(1969, 12, 31, 23, 59, 59, 999999)},
+            {"ts": datetime(1582, 10, 4)}]
+    views = make_log(rows, min_year=1)
+    stored = views.stored()
+    assert dict(spark.read.parquet(*stored.log.inputFiles()).dtypes)["ts"] == "bigint"
+    assert stored.log.dtypes == views.log.dtypes and sorted(map(str, stored.log.collect())) == sorted(map(str, views.log.collect()))
