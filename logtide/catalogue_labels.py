@@ -129,7 +129,13 @@ def light_labels(views: LogViews, ruleset: RuleSet = LIGHT) -> DataFrame:
     return materialise(labelled, "labels")
 
 
-def rich_table(views: LogViews) -> DataFrame:
+def whole_regularity(views: LogViews) -> DataFrame:
+    """Interval regularity over all events of a location."""
+    return timing.interval_regularity(views, k=None)
+
+
+def rich_table(views: LogViews, regularity=timing.interval_regularity) -> DataFrame:
+    """Location table of the rule and seed queries; the oracles of most take gaps from 50 events of a location."""
     views.hour_users  # written first: the hours are read from it
     out = light_table(views)
     for feature, defaults in (
@@ -138,7 +144,7 @@ def rich_table(views: LogViews) -> DataFrame:
             (temporal.yearly_pattern, temporal.YEARLY_DEFAULTS),
             (temporal.burst_pattern, temporal.BURST_DEFAULTS),
             (temporal.user_coordination, temporal.COORDINATION_DEFAULTS),
-            (timing.interval_regularity, timing.REGULARITY_DEFAULTS),
+            (regularity, timing.REGULARITY_DEFAULTS),
             (users.user_authenticity, users.AUTHENTICITY_DEFAULTS)):
         out = left_features(out, feature(views), defaults)
     return materialise(out, "locations")
@@ -149,6 +155,11 @@ def _rich(run):
     return lambda spark, sf_dir: rounded(run(rich_table(stored_views(spark, sf_dir))))
 
 
+def _whole(run):
+    """Query over the rich location table with the gaps of all events."""
+    return lambda spark, sf_dir: rounded(run(rich_table(stored_views(spark, sf_dir), whole_regularity)))
+
+
 def _light(run):
     """Query over the labelled light table."""
     return lambda spark, sf_dir: rounded(run(light_labels(views_of(spark, sf_dir))))
@@ -709,7 +720,7 @@ def label_queries():
         "jn09_annotator_pairs": _ev(lambda p: p, _pairs),
         "jn10_gold_match": on_views(_jn10), "jn11_proximity_groups": _proximity,
         "jn12_country_statistics": on_views(_jn12),
-        "cls01_matched_patterns": _rich(lambda t: rules.matched_patterns(t, RICH.taxonomy)),
+        "cls01_matched_patterns": _whole(lambda t: rules.matched_patterns(t, RICH.taxonomy)),
         "cls02_behavior_type": _rich(lambda t: _behaviour(t).select(LOC, "behavior_type")),
         "cls03_automation_category": _rich(lambda t: _categories(t).select(
             LOC, "behavior_type", "automation_category")),

@@ -151,12 +151,15 @@ SAMPLE = """smp AS (
 gaps AS (
   SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY geo_location ORDER BY ts, sample_key)) / 1e6 AS gap FROM smp)"""
 
-REGULARITY = SAMPLE.format(k=50) + """,
+_MOMENTS = """,
 regularity AS (
   SELECT geo_location, avg(gap) AS mean_interval, stddev_samp(gap) AS std_interval,
     coalesce(CASE WHEN avg(gap) > 0 THEN stddev_samp(gap) / avg(gap) ELSE 1 END, 1) AS interval_cv,
     CASE WHEN stddev_samp(gap) > 0 THEN avg(gap) / (stddev_samp(gap) + 1) ELSE 0 END AS regularity_score
   FROM gaps WHERE gap > 0 GROUP BY 1)"""
+REGULARITY = SAMPLE.format(k=50) + _MOMENTS
+WHOLE_REGULARITY = """gaps AS (
+  SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY geo_location ORDER BY ts)) / 1e6 AS gap FROM v)""" + _MOMENTS
 
 DOW = """dow AS (
   SELECT geo_location, avg(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1.0 ELSE 0.0 END) AS weekend_ratio,

@@ -6,7 +6,7 @@ from logtide.catalogue_labels import FLAGSHIP, LIGHT, PATTERN, RICH, SEEDS, TRUT
 from logtide.operators.learned import MODEL_FEATURES
 from oracles.base import out, query
 from oracles.features import (AUTHENTIC, BASE, BURST, COORD, DOW, FILE_DIV, PROJECT, PROTOCOL,
-                              REGULARITY, SESSION_COUNT, TIME_OF_DAY, YEARLY)
+                              REGULARITY, SESSION_COUNT, TIME_OF_DAY, WHOLE_REGULARITY, YEARLY)
 
 RICH_TABLE = [BASE, TIME_OF_DAY, PROJECT, PROTOCOL, YEARLY, BURST, COORD, REGULARITY,
               AUTHENTIC.format(farm=100, hom=2.0), """t AS (
@@ -18,6 +18,7 @@ RICH_TABLE = [BASE, TIME_OF_DAY, PROJECT, PROTOCOL, YEARLY, BURST, COORD, REGULA
   FROM base b JOIN time_of_day d USING (geo_location) JOIN project p USING (geo_location) JOIN protocol pr USING (geo_location)
   JOIN yearly y USING (geo_location) LEFT JOIN burst bu USING (geo_location) LEFT JOIN coord c USING (geo_location)
   LEFT JOIN regularity r USING (geo_location) LEFT JOIN authentic a USING (geo_location))"""]
+WHOLE_TABLE = [WHOLE_REGULARITY if cte == REGULARITY else cte for cte in RICH_TABLE]
 RICH_COLUMNS = {
     "unique_users", "downloads_per_user", "total_downloads", "unique_projects", "years_active",
     "working_hours_ratio", "night_activity_ratio", "hourly_entropy", "regularity_score",
@@ -256,7 +257,7 @@ def oracles() -> dict[str, str]:
     o["jn12_country_statistics"] = query("orders", [BASE], """SELECT geo_location, country, total_downloads, count(*) OVER (PARTITION BY country) AS locations_per_country,
       CAST(sum(total_downloads) OVER (PARTITION BY country) AS BIGINT) AS country_total_dl FROM base""")
     flags_sql = ", ".join(f"{pattern_sql(p)} AS {lv}__{kd}__{p['id']}" for lv, kds in RICH.taxonomy.items() for kd, ps in kds.items() for p in ps)
-    o["cls01_matched_patterns"] = query("orders", RICH_TABLE, f"SELECT geo_location, {flags_sql} FROM t")
+    o["cls01_matched_patterns"] = query("orders", WHOLE_TABLE, f"SELECT geo_location, {flags_sql} FROM t")
     o["cls02_behavior_type"] = query("orders", RICH_LABELS, "SELECT geo_location, behavior_type FROM bt")
     o["cls03_automation_category"] = query("orders", RICH_LABELS, "SELECT geo_location, behavior_type, automation_category FROM ac")
     o["cls04_rule_confidence"] = query("orders", RICH_LABELS, f"SELECT geo_location, round({CONFIDENCE}, 6) + 0.0 AS classification_confidence FROM ac")
