@@ -728,7 +728,7 @@ def label_queries():
             LOC, "classification_confidence")),
         "cls05_boolean_labels": _rich(lambda t: rules.boolean_labels(_categories(t)).select(
             LOC, *LABEL_COLUMNS)),
-        "cls06_rule_classifier": _rich(lambda t: rules.classify_rules(t, RICH).select(
+        "cls06_rule_classifier": _whole(lambda t: rules.classify_rules(t, RICH).select(
             LOC, *LABEL_COLUMNS, "is_protected_hub", "classification_confidence")),
         "cls07_organic_seeds": _rich(lambda t: seeds.organic_seeds(t, SEEDS).select(
             *seed_columns)),

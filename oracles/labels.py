@@ -84,6 +84,7 @@ CONFIDENCE = """CASE WHEN behavior_type = 'organic' THEN 0.3e0 + 0.7e0 * (greate
 LIGHT_LABELS = LIGHT_TABLE + rule_ctes(LIGHT, False)
 FLAGSHIP_LABELS = LIGHT_TABLE + rule_ctes(FLAGSHIP, False)
 RICH_LABELS = RICH_TABLE + rule_ctes(RICH, True)
+WHOLE_LABELS = WHOLE_TABLE + rule_ctes(RICH, True)
 
 
 def seed_ctes(r=SEEDS) -> list[str]:
@@ -263,7 +264,7 @@ def oracles() -> dict[str, str]:
     o["cls04_rule_confidence"] = query("orders", RICH_LABELS, f"SELECT geo_location, round({CONFIDENCE}, 6) + 0.0 AS classification_confidence FROM ac")
     bools = ("coalesce(automation_category = 'bot', false) AS is_bot, coalesce(automation_category = 'legitimate_automation', false) AS is_hub, behavior_type = '{}' AS is_organic")
     o["cls05_boolean_labels"] = query("orders", RICH_LABELS, f"SELECT geo_location, behavior_type, automation_category, {bools.format('organic')} FROM ac")
-    o["cls06_rule_classifier"] = query("orders", RICH_LABELS, """SELECT geo_location, behavior_type, automation_category, is_bot, is_hub, is_organic, is_protected_hub,
+    o["cls06_rule_classifier"] = query("orders", WHOLE_LABELS, """SELECT geo_location, behavior_type, automation_category, is_bot, is_hub, is_organic, is_protected_hub,
       round(classification_confidence, 6) + 0.0 AS classification_confidence FROM lab""")
     for key, cte in (("cls07_organic_seeds", "oseed"), ("cls08_bot_seeds", "bseed"), ("cls09_hub_seeds", "hseed")):
         o[key] = query("orders", RICH_TABLE + seed_ctes(), f"SELECT geo_location, CAST(seed_confidence AS DOUBLE) AS seed_confidence FROM {cte}")

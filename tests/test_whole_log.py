@@ -106,3 +106,10 @@ def test_daily_events_are_regular(tables, spark):
     assert not found[DAILY]["behavior_type__organic__working_hours_human"]
     assert not found[BURSTS]["behavior_type__automated__high_regularity"]
     assert found[BURSTS]["behavior_type__organic__irregular_intervals"]
+
+
+def test_daily_events_are_classified_as_automated(tables, spark):
+    """cls06: regular events of many users are a bot, not people in working hours."""
+    found = by_location(tables, spark, "cls06_rule_classifier")[DAILY]
+    assert (found["behavior_type"], found["automation_category"], found["is_bot"], found["is_organic"]) == (
+        "automated", "bot", True, False)
