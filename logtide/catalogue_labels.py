@@ -737,7 +737,7 @@ def label_queries():
         "cls10_seed_overlap": _rich(_all_seeds),
         "cls11_label_injection": _rich(lambda t: seeds.inject_labels(
             _all_seeds(t), t, corrections(t))),
-        "cls12_feature_matrix": _rich(learned.feature_matrix),
+        "cls12_feature_matrix": _whole(learned.feature_matrix),
         "cls13_boosting": _cls13,
         "cls14_hub_protection": _rich(lambda t: _protected(t).select(
             LOC, "behavior_type", "automation_category", "is_protected_hub")),

@@ -274,7 +274,7 @@ def oracles() -> dict[str, str]:
         "unique_users", "downloads_per_user", "total_downloads", "working_hours_ratio", "night_activity_ratio", "hourly_entropy", "burst_pattern_score",
         "user_coordination_score", "spike_ratio", "fraction_latest_year", "year_over_year_cv", "years_span", "protocol_legitimacy_score", "aspera_ratio",
         "globus_ratio", "regularity_score", "unique_projects", "top_project_concentration", "top3_project_concentration", "project_hhi"}]
-    o["cls12_feature_matrix"] = query("orders", RICH_TABLE, out("geo_location " + " ".join(f"{c}:r" for c in have), "t"))
+    o["cls12_feature_matrix"] = query("orders", WHOLE_TABLE, out("geo_location " + " ".join(f"{c}:r" for c in have), "t"))
     o["cls14_hub_protection"] = query("orders", RICH_LABELS, "SELECT geo_location, behavior_type, automation_category, is_protected_hub FROM hp")
     o["cls15_hub_demotion"] = query("orders", RICH_LABELS, "SELECT geo_location, behavior_type, automation_category, is_protected_hub FROM hd")
     mapped = """mp AS (SELECT *, CASE WHEN night_activity_ratio > 0.34 THEN 'bot' WHEN working_hours_ratio > 0.35 THEN 'hub' ELSE 'organic' END AS l FROM t),

@@ -95,11 +95,15 @@ def by_location(tables, spark, name):
     return {r["geo_location"]: r.asDict() for r in rows}
 
 
-def test_daily_events_are_regular(tables, spark):
-    """cls01: alternating gaps of a day and 7919 seconds more or less; a sample sees random ones."""
+def daily_score():
+    """Regularity of gaps of a day and by turns 7919 seconds more or less."""
     gaps = [86_400 + (7_919 if i % 2 == 0 else -7_919) for i in range(DAYS - 1)]
-    score = statistics.fmean(gaps) / (statistics.stdev(gaps) + 1)
-    assert score > 10
+    return statistics.fmean(gaps) / (statistics.stdev(gaps) + 1)
+
+
+def test_daily_events_are_regular(tables, spark):
+    """cls01: a sample sees random gaps."""
+    assert daily_score() > 10
     found = by_location(tables, spark, "cls01_matched_patterns")
     assert set(found) == {DAILY, BURSTS}
     assert found[DAILY]["behavior_type__automated__high_regularity"]
@@ -113,3 +117,10 @@ def test_daily_events_are_classified_as_automated(tables, spark):
     found = by_location(tables, spark, "cls06_rule_classifier")[DAILY]
     assert (found["behavior_type"], found["automation_category"], found["is_bot"], found["is_organic"]) == (
         "automated", "bot", True, False)
+
+
+def test_the_matrix_holds_the_regularity_of_all_events(tables, spark):
+    """cls12"""
+    found = by_location(tables, spark, "cls12_feature_matrix")
+    assert found[DAILY]["regularity_score"] == pytest.approx(daily_score(), abs=1e-6)
+    assert found[BURSTS]["regularity_score"] < 0.5
