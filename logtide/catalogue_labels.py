@@ -741,7 +741,7 @@ def label_queries():
         "cls13_boosting": _cls13,
         "cls14_hub_protection": _rich(lambda t: _protected(t).select(
             LOC, "behavior_type", "automation_category", "is_protected_hub")),
-        "cls15_hub_demotion": _rich(lambda t: rules.demote_suspicious_hubs(
+        "cls15_hub_demotion": _whole(lambda t: rules.demote_suspicious_hubs(
             _protected(t), RICH).select(LOC, "behavior_type", "automation_category",
                                         "is_protected_hub")),
         "cls16_calibration": _cls16, "cls17_predict": _cls17,

@@ -276,7 +276,7 @@ def oracles() -> dict[str, str]:
         "globus_ratio", "regularity_score", "unique_projects", "top_project_concentration", "top3_project_concentration", "project_hhi"}]
     o["cls12_feature_matrix"] = query("orders", WHOLE_TABLE, out("geo_location " + " ".join(f"{c}:r" for c in have), "t"))
     o["cls14_hub_protection"] = query("orders", RICH_LABELS, "SELECT geo_location, behavior_type, automation_category, is_protected_hub FROM hp")
-    o["cls15_hub_demotion"] = query("orders", RICH_LABELS, "SELECT geo_location, behavior_type, automation_category, is_protected_hub FROM hd")
+    o["cls15_hub_demotion"] = query("orders", WHOLE_LABELS, "SELECT geo_location, behavior_type, automation_category, is_protected_hub FROM hd")
     mapped = """mp AS (SELECT *, CASE WHEN night_activity_ratio > 0.34 THEN 'bot' WHEN working_hours_ratio > 0.35 THEN 'hub' ELSE 'organic' END AS l FROM t),
       mq AS (SELECT geo_location, total_downloads, CASE WHEN l = 'bot' THEN 'bot' WHEN l = 'hub' THEN 'download_hub' WHEN unique_users <= 10 AND downloads_per_user <= 5 THEN 'independent_user' ELSE 'normal' END AS user_category,
         CASE WHEN l = 'organic' THEN 'user' ELSE l END AS behavior_type, CASE WHEN l = 'bot' THEN 'bot' WHEN l = 'hub' THEN 'legitimate_automation' END AS automation_category,

@@ -124,3 +124,10 @@ def test_the_matrix_holds_the_regularity_of_all_events(tables, spark):
     found = by_location(tables, spark, "cls12_feature_matrix")
     assert found[DAILY]["regularity_score"] == pytest.approx(daily_score(), abs=1e-6)
     assert found[BURSTS]["regularity_score"] < 0.5
+
+
+def test_labels_after_demotion_rest_on_all_events(tables, spark):
+    """cls15"""
+    found = by_location(tables, spark, "cls15_hub_demotion")[DAILY]
+    assert (found["behavior_type"], found["automation_category"], found["is_protected_hub"]) == (
+        "automated", "bot", False)
