@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from logtide.operators import timing
+from logtide.catalogue_labels import LABEL_COLUMNS
+from logtide.operators import learned, timing
 from logtide.operators.rollups import LogViews
 from logtide.schema import get_schema
 
@@ -131,3 +132,17 @@ def test_labels_after_demotion_rest_on_all_events(tables, spark):
     found = by_location(tables, spark, "cls15_hub_demotion")[DAILY]
     assert (found["behavior_type"], found["automation_category"], found["is_protected_hub"]) == (
         "automated", "bot", False)
+
+
+def test_labels_are_learned_from_the_regularity_of_all_events(tables, spark, monkeypatch):
+    """cls20: the table that is trained on and predicted."""
+    seen = []
+
+    def fitted(locations, **_):
+        seen.append(locations)
+        names = [*LABEL_COLUMNS, "needs_review", "is_protected_hub"]
+        return locations.withColumns({c: F.lit(None).cast("string") for c in names}), None
+    monkeypatch.setattr(learned, "classify_learned", fitted)
+    assert len(by_location(tables, spark, "cls20_learned_labels")) == 2
+    scores = {r["geo_location"]: r["regularity_score"] for r in seen[0].collect()}
+    assert scores[DAILY] == pytest.approx(daily_score(), rel=1e-9) and scores[BURSTS] < 0.5
