@@ -465,8 +465,7 @@ def _cls17(spark, sf_dir):
 
 def _cls20(spark, sf_dir):
     t = rich_table(stored_views(spark, sf_dir), whole_regularity)
-    labelled, _ = learned.classify_learned(t, corrections=corrections(t), params=SMALL,
-                                           rules=RICH, seed_rules=SEEDS)
+    labelled, _ = learned.classify_learned(t, corrections=corrections(t), rules=RICH, seed_rules=SEEDS)
     return rounded(labelled.select(LOC, *LABEL_COLUMNS, "needs_review", "is_protected_hub"))
 
 

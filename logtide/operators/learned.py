@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +24,7 @@ from logtide.operators.rules import (RuleSet, boolean_labels, demote_suspicious_
                                      protect_hubs)
 from logtide.operators.seeds import (SeedRules, bot_seeds, hub_seeds, inject_labels,
                                      organic_seeds, resolve_overlaps)
-from logtide.session import materialise
+from logtide.session import materialise, shared_path
 
 # Fixed model inputs.
 MODEL_FEATURES = [
@@ -38,6 +40,7 @@ MODEL_FEATURES = [
     "top_project_concentration", "top3_project_concentration", "project_hhi",
 ]
 CLASSES = ("organic", "bot", "hub")
+FITS = 4  # folds, and classes of a fold, that are fitted at the same time
 
 
 @dataclass(frozen=True)
@@ -137,9 +140,14 @@ def _fit_fold(train: DataFrame, held_out: DataFrame, present: list[str], params:
     return scaler, models, sigmoids
 
 
+def _side_by_side(fit: Callable, keys: Iterable) -> list:
+    """Results of independent fits; each is a chain of small jobs that leaves executors idle otherwise."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(fit, keys))
+
+
 def _fit_classes(train: DataFrame, held_out: DataFrame, present: list[str], params: BoostingParams):
-    models, sigmoids = {}, {}
-    for name in present:
+    def fit(name: str):
         target = (F.col("label") == name).cast("double")
         gbt = GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight",
                             maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step,
@@ -150,9 +158,9 @@ def _fit_classes(train: DataFrame, held_out: DataFrame, present: list[str], para
             "y", "weight", F.array(vector_to_array("rawPrediction")[1]).alias("m"))
         platt = LogisticRegression(featuresCol="v", labelCol="y", weightCol="weight").fit(
             margins.select("y", "weight", array_to_vector("m").alias("v")))
-        models[name] = model
-        sigmoids[name] = (float(platt.coefficients[0]), float(platt.intercept))
-    return models, sigmoids
+        return model, (float(platt.coefficients[0]), float(platt.intercept))
+    fitted = dict(zip(present, _side_by_side(fit, present)))
+    return {c: m for c, (m, _) in fitted.items()}, {c: s for c, (_, s) in fitted.items()}
 
 
 def train_calibrated(labelled: DataFrame, params: BoostingParams = BoostingParams(),
@@ -168,8 +176,11 @@ def train_calibrated(labelled: DataFrame, params: BoostingParams = BoostingParam
     rows = materialise(assembled(labelled, names).join(keep, LOC).withColumn("fold", fold),
                        "training")
     present = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
-    folds = [_fit_fold(rows.filter(F.col("fold") != i), rows.filter(F.col("fold") == i),
-                       present, params) for i in range(params.folds)]
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # boosting cuts its lineage there every few rounds
+        context.setCheckpointDir(shared_path(rows.sparkSession, "boosting"))
+    folds = _side_by_side(lambda i: _fit_fold(
+        rows.filter(F.col("fold") != i), rows.filter(F.col("fold") == i), present, params), range(params.folds))
     return CalibratedModel(folds, names)
 
 

@@ -135,14 +135,32 @@ def test_labels_after_demotion_rest_on_all_events(tables, spark):
 
 
 def test_labels_are_learned_from_the_regularity_of_all_events(tables, spark, monkeypatch):
-    """cls20: the table that is trained on and predicted."""
+    """cls20: the table that is trained on and predicted, with the boosting of a run."""
     seen = []
 
-    def fitted(locations, **_):
+    def fitted(locations, *, params=learned.BoostingParams(), **_):
         seen.append(locations)
+        assert params == learned.BoostingParams() and (params.rounds, params.depth, params.folds) == (200, 5, 5)
         names = [*LABEL_COLUMNS, "needs_review", "is_protected_hub"]
         return locations.withColumns({c: F.lit(None).cast("string") for c in names}), None
     monkeypatch.setattr(learned, "classify_learned", fitted)
     assert len(by_location(tables, spark, "cls20_learned_labels")) == 2
     scores = {r["geo_location"]: r["regularity_score"] for r in seen[0].collect()}
     assert scores[DAILY] == pytest.approx(daily_score(), rel=1e-9) and scores[BURSTS] < 0.5
+
+
+def test_fits_side_by_side_equal_those_in_turn(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"l{i}", ("bot", "hub", "organic")[i % 3], 1.0 + i % 2, rng.gauss(i % 3, 1), rng.random())
+            for i in range(60)]
+    table = spark.createDataFrame(rows, "geo_location string, label string, weight double, unique_users double, "
+                                        "hourly_entropy double")
+    params = learned.BoostingParams(rounds=3, depth=2, min_leaf=2, folds=2)
+    found = []
+    for fits in (1, 4):
+        monkeypatch.setattr(learned, "FITS", fits)
+        model = learned.train_calibrated(table, params)
+        assert [sorted(m) for _, m, _ in model.folds] == [["bot", "hub", "organic"]] * 2
+        found.append([s for _, _, s in model.folds] + [tuple(r) for r in learned.predict(model, table)
+                                                       .orderBy("geo_location").collect()])
+    assert spark.sparkContext.getCheckpointDir() and found[0] == found[1]
